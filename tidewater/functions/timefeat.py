@@ -62,8 +62,11 @@ def age_seconds(ts, now) -> Column:
 
 
 def freshness_label(ts, now) -> Column:
-    """``<n>s ago`` under a minute, ``<n>m ago`` under an hour, else ``<n>h ago``."""
+    """``<n>s ago`` under a minute, ``<n>m ago`` under an hour, ``<n>h ago`` under
+    a day, else the time itself; no time -> ``Unknown``."""
     a = age_seconds(ts, now)
-    return (F.when(a < 60, F.concat(a.cast("string"), F.lit("s ago")))
+    return (F.when(_c(ts).isNull(), F.lit("Unknown"))
+             .when(a < 60, F.concat(a.cast("string"), F.lit("s ago")))
              .when(a < 3600, F.concat(F.floor(a / 60).cast("string"), F.lit("m ago")))
-             .otherwise(F.concat(F.floor(a / 3600).cast("string"), F.lit("h ago"))))
+             .when(a < 86400, F.concat(F.floor(a / 3600).cast("string"), F.lit("h ago")))
+             .otherwise(F.date_format(_c(ts).cast("timestamp"), "yyyy-MM-dd HH:mm")))

@@ -328,3 +328,42 @@ JOIN part ON l_partkey = p_partkey
 JOIN {_sql_nation_side('dep')} d ON c_nationkey = dep_nationkey
 JOIN {_sql_nation_side('arr')} a ON s_nationkey = arr_nationkey
 """
+
+
+# ---------------------------------------------------------------------------
+# A'. Raw AIS messages (NDJSON text lines) derived from view A
+# ---------------------------------------------------------------------------
+
+def raw_ais_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON text line per position, in the provider's camelCase layout.
+
+    Message time comes in three spellings (``Z``, ``+01:00`` local, no zone);
+    a deterministic share of lines is broken: bad JSON, a JSON array, a
+    blank line, a missing latitude, an unparsable time.
+    """
+    p = ais_positions(spark, sf_dir)
+    eid = F.col("event_id")
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    ts = F.col("timestamp").cast("timestamp")
+    msgtime = (F.when(eid % 50 == 0, F.lit("not-a-time"))
+                .when(eid % 3 == 0, F.concat(F.date_format(ts, iso), F.lit("Z")))
+                .when(eid % 3 == 1, F.concat(F.date_format(ts + F.expr("INTERVAL 1 HOUR"), iso),
+                                             F.lit("+01:00")))
+                .otherwise(F.date_format(ts, iso)))
+    body = F.to_json(F.struct(
+        F.col("mmsi").cast("bigint").alias("mmsi"),
+        msgtime.alias("msgtime"),
+        F.when(eid % 97 != 0, F.col("latitude")).alias("latitude"),
+        F.col("longitude").alias("longitude"),
+        F.col("vessel_name").alias("name"),
+        F.col("sog").alias("speedOverGround"),
+        F.col("cog").alias("courseOverGround"),
+        F.col("heading").alias("trueHeading"),
+        F.col("nav_status").alias("navigationalStatus"),
+        F.col("ship_type").alias("shipType"),
+        F.col("rate_of_turn").alias("rateOfTurn")))
+    value = (F.when(eid % 89 == 0, F.lit("garbage{"))
+              .when(eid % 83 == 0, F.lit("[1, 2]"))
+              .when(eid % 79 == 0, F.lit(""))
+              .otherwise(body))
+    return p.select(value.alias("value"), F.col("offset"), eid.alias("event_id"))
