@@ -104,3 +104,23 @@ def cyclical_cols_sql(digits: int) -> str:
              ("month_sin", f"sin({two_pi} * (month - 1) / 12)"),
              ("month_cos", f"cos({two_pi} * (month - 1) / 12)")]
     return ",\n".join(f"(round({e}, {digits}) + 0.0::DOUBLE) AS {n}" for n, e in parts)
+
+
+def model_features_sql(panel: str, digits: int = 9) -> str:
+    """Panel -> centroids, calendar, cyclical, lags, rolling means, future targets."""
+    return f"""
+SELECT y.*, {lag_sql()}, {rolling_sql()}, {future_sql()}
+FROM (
+  SELECT x0.*, {cyclical_cols_sql(digits)}
+  FROM (SELECT p.*, c.centroid_lat, c.centroid_lon, {calendar_cols_sql('p.timestamp_utc')}
+        FROM ({panel}) p LEFT JOIN {centroids_values()} c ON p.study_area = c.study_area) x0) y
+{WINDOW}"""
+
+
+def split_sql(boundaries: dict, col: str = "timestamp_utc") -> str:
+    if "train" in boundaries:
+        return (f"CASE WHEN {col} < TIMESTAMP '{boundaries['train']}' THEN 'train' "
+                f"WHEN {col} < TIMESTAMP '{boundaries['validation']}' THEN 'validation' "
+                f"WHEN {col} < TIMESTAMP '{boundaries['test']}' THEN 'test' END")
+    return (f"CASE WHEN {col} >= TIMESTAMP '{boundaries['test']}' THEN 'test' "
+            f"WHEN {col} >= TIMESTAMP '{boundaries['validation']}' THEN 'validation' ELSE 'train' END")
