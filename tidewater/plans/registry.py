@@ -29,4 +29,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from . import live, metrics, model, traffic, voyage  # noqa: F401
+    from . import live, metrics, ml, model, traffic, voyage  # noqa: F401
