@@ -168,31 +168,59 @@ def regression_metrics(spark, sf):
     return overall.select(*cols).unionByName(per.select(*cols))
 
 
-def _sql_summary() -> str:
-    parts = []
-    for rule in RULES:
-        pred = _test(_sql_pred(rule))
-        parts.append(f"""SELECT '{rule}' AS experiment, o.accuracy, o.macro_f1, o.weighted_f1, o.macro_precision,
-  o.macro_recall, (SELECT round(avg(macro_f1), 9) FROM ({sql_class_metrics(pred, ['study_area'])}) a) AS mean_area_macro_f1
-FROM ({sql_class_metrics(pred, [])}) o""")
-    return " UNION ALL ".join(parts)
-
-
-SUMMARY_SQL = _sql_summary()
+def predictions_all_rules(spark, sf) -> DataFrame:
+    """Every rule's predictions in one frame with a ``rule`` column: the model
+    table is computed once and fanned out by ``explode`` (no join)."""
+    rows = model_rows(spark, sf).filter(F.col("dataset_split") == EVAL_SPLIT)
+    thr = FT.area_thresholds(complete_rows(spark, sf))
+    j = rows.join(F.broadcast(thr.select("study_area", "high_threshold")), "study_area")
+    hi = F.col("high_threshold")
+    train = model_rows(spark, sf).filter(F.col("dataset_split") == "train")
+    mode = (train.groupBy("traffic_level_numeric").agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.desc("n"), "traffic_level_numeric").limit(1).select("traffic_level_numeric").scalar())
+    preds = {
+        "lag_1h": _level_num(F.col("total_events_lag_1h"), hi),
+        "lag_24h": _level_num(F.col("total_events_lag_24h"), hi),
+        "rolling_3h": FT.regression_to_class(F.col("total_events_rolling_mean_3h"), hi),
+        "rolling_24h": FT.regression_to_class(F.col("total_events_rolling_mean_24h"), hi),
+        "majority": mode,
+    }
+    fan = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), preds[r].cast("int").alias("predicted"))
+                              for r in RULES]))
+    return j.select("study_area", F.col("traffic_level_numeric").alias("actual"), fan.alias("__p")) \
+            .select("study_area", "actual", "__p.rule", "__p.predicted")
+
+
+def _sql_pred_all() -> str:
+    cases = " ".join(f"WHEN '{r}' THEN p_{r}" for r in RULES)
+    parts = ", ".join(f"CAST(({_sql_pred_expr(r)}) AS INTEGER) AS p_{r}" for r in RULES)
+    return f"""SELECT study_area, actual, rule, CASE rule {cases} END AS predicted FROM (
+  SELECT study_area, traffic_level_numeric AS actual, {parts} FROM ({LABELLED_SQL}) l
+  WHERE dataset_split = '{EVAL_SPLIT}') x, (VALUES {', '.join(f"('{r}')" for r in RULES)}) r(rule)"""
+
+
+def _sql_pred_expr(rule: str) -> str:
+    sql = _sql_pred(rule)
+    return sql.split("CAST(", 1)[1].rsplit(" AS INTEGER) AS predicted", 1)[0]
+
+
+PRED_ALL_SQL = _sql_pred_all()
+SUMMARY_SQL = f"""
+SELECT o.rule AS experiment, o.accuracy, o.macro_f1, o.weighted_f1, o.macro_precision, o.macro_recall,
+       a.mean_area_macro_f1
+FROM ({sql_class_metrics(PRED_ALL_SQL, ['rule'])}) o
+JOIN (SELECT rule, round(avg(macro_f1), 9) AS mean_area_macro_f1
+      FROM ({sql_class_metrics(PRED_ALL_SQL, ['rule', 'study_area'])}) x GROUP BY rule) a ON o.rule = a.rule"""
 
 
 def experiment_rows(spark, sf) -> DataFrame:
-    frames = []
-    for rule in RULES:
-        p = test_predictions(spark, sf, rule)
-        o = MT.class_metrics(p)
-        mean_area = MT.class_metrics(p, by=["study_area"]).select(F.round(F.avg("macro_f1"), 9)).scalar()
-        frames.append(o.select(F.lit(rule).alias("experiment"), "accuracy", "macro_f1", "weighted_f1",
-                               "macro_precision", "macro_recall", mean_area.alias("mean_area_macro_f1")))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    p = predictions_all_rules(spark, sf)
+    o = MT.class_metrics(p, by=["rule"])
+    per = MT.class_metrics(p, by=["rule", "study_area"])
+    mean_area = per.groupBy("rule").agg(F.round(F.avg("macro_f1"), 9).alias("mean_area_macro_f1"))
+    return o.join(mean_area, "rule").select(F.col("rule").alias("experiment"), "accuracy", "macro_f1",
+                                            "weighted_f1", "macro_precision", "macro_recall",
+                                            "mean_area_macro_f1")
 
 
 @register("model_ranking", f"""
@@ -210,26 +238,25 @@ def _area_cols():
             for a in sorted(C.STUDY_AREAS)]
 
 
-@register("experiment_summary", " UNION ALL ".join(
-    f"""SELECT '{rule}' AS experiment, o.accuracy, o.macro_f1, o.weighted_f1, o.macro_precision, o.macro_recall,
-  {', '.join(f"(SELECT macro_f1 FROM ({sql_class_metrics(_test(_sql_pred(rule)), ['study_area'])}) a WHERE study_area = {Q.lit(a)}) AS {slug}" for a, slug in _area_cols())}
-FROM ({sql_class_metrics(_test(_sql_pred(rule)), [])}) o""" for rule in RULES))
+_PIVOT_SQL = ", ".join(f"max(CASE WHEN study_area = {Q.lit(a)} THEN macro_f1 END) AS {slug}"
+                       for a, slug in _area_cols())
+
+
+@register("experiment_summary", f"""
+SELECT o.rule AS experiment, o.accuracy, o.macro_f1, o.weighted_f1, o.macro_precision, o.macro_recall, {
+    ', '.join(f'a.{slug}' for _, slug in _area_cols())}
+FROM ({sql_class_metrics(PRED_ALL_SQL, ['rule'])}) o
+JOIN (SELECT rule, {_PIVOT_SQL} FROM ({sql_class_metrics(PRED_ALL_SQL, ['rule', 'study_area'])}) x GROUP BY rule) a
+  ON o.rule = a.rule""")
 def experiment_summary(spark, sf):
     """One row per experiment (5 metrics) with the per-area macro F1 pivot."""
-    frames = []
-    for rule in RULES:
-        p = test_predictions(spark, sf, rule)
-        o = MT.class_metrics(p)
-        per = MT.class_metrics(p, by=["study_area"])
-        piv = per.groupBy().pivot("study_area", sorted(C.STUDY_AREAS)).agg(F.first("macro_f1"))
-        piv = piv.select(*[F.col(f"`{a}`").alias(slug) for a, slug in _area_cols()])
-        frames.append(o.select(F.lit(rule).alias("experiment"), "accuracy", "macro_f1", "weighted_f1",
-                               "macro_precision", "macro_recall",
-                               *[piv.select(slug).scalar().alias(slug) for _, slug in _area_cols()]))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    p = predictions_all_rules(spark, sf)
+    o = MT.class_metrics(p, by=["rule"])
+    per = MT.class_metrics(p, by=["rule", "study_area"])
+    piv = per.groupBy("rule").pivot("study_area", sorted(C.STUDY_AREAS)).agg(F.first("macro_f1"))
+    piv = piv.select("rule", *[F.col(f"`{a}`").alias(slug) for a, slug in _area_cols()])
+    return o.join(piv, "rule").select(F.col("rule").alias("experiment"), "accuracy", "macro_f1", "weighted_f1",
+                                      "macro_precision", "macro_recall", *[s for _, s in _area_cols()])
 
 
 @register("compare_models", f"""

@@ -13,6 +13,31 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy Parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(table_path(sf_dir, name))
+# Dimension tables: small, joined by broadcast; never rebalanced.
+DIMENSIONS = {"region", "nation", "customer", "supplier", "part"}
+_BALANCE_MIN_BYTES = 1 << 20
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
+    """Lazy Parquet scan; Catalyst prunes columns and pushes filters into it.
+
+    A fact table stored as fewer splits than the cluster has cores (one file
+    with one row group) would run every stage up to the first shuffle in a
+    single task; such scans are spread round-robin over the default
+    parallelism.  On real data (many files / row groups) the check is false
+    and no shuffle is added.
+    """
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if not balance or name in DIMENSIONS:
+        return df
+    parallelism = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < parallelism and _size(spark, table_path(sf_dir, name)) > _BALANCE_MIN_BYTES:
+        df = df.repartition(parallelism)
+    return df
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
