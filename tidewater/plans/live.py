@@ -563,3 +563,13 @@ def geofence_status(spark, sf):
     """Tracked vessels, vessels inside now, entries and exits."""
     p = positions(spark, sf)
     return V.geofence_status(L.final_geofence_state(p), L.geofence_transitions(p))
+
+
+@register("hourly_stream", f"SELECT * FROM ({_sql_live_counts(EVENTS_SQL)}) c")
+def hourly_stream(spark, sf):
+    """X3 plan in batch form: the streaming hour-window aggregation applied to the
+    event table (watermark is inert in batch); equals A2."""
+    from ..streaming.pipeline import hourly_counts_stream
+    ev = events_of(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    out = hourly_counts_stream(ev)
+    return out.withColumn("timestamp_utc", F.col("timestamp_utc").cast("timestamp_ntz"))

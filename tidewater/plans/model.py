@@ -417,3 +417,18 @@ def area_slug(spark, sf):
 def scaler_stats(spark, sf):
     """Train-only mean and population std of the 17 sequence features."""
     return MT.scaler_stats(model_rows(spark, sf), SEQ_FEATURES)
+
+
+@register("lookup_join", f"""
+SELECT l.study_area, l.timestamp_utc, c.centroid_lat AS area_lat, c.centroid_lon AS area_lon, t.high_threshold
+FROM ({LABELLED_SQL}) l
+JOIN {Q.centroids_values()} c ON l.study_area = c.study_area
+JOIN ({THR_SQL}) t ON l.study_area = t.study_area""")
+def lookup_join(spark, sf):
+    """Dictionary lookups by area (centroid, HIGH threshold) as broadcast equi-joins
+    against dimensions bounded by the area list."""
+    rows = model_rows(spark, sf).select("study_area", "timestamp_utc")
+    cen = FT.centroids_frame(spark).select("study_area", F.col("centroid_lat").alias("area_lat"),
+                                           F.col("centroid_lon").alias("area_lon"))
+    thr = FT.area_thresholds(complete_rows(spark, sf)).select("study_area", "high_threshold")
+    return rows.join(F.broadcast(cen), "study_area").join(F.broadcast(thr), "study_area")

@@ -458,3 +458,13 @@ FROM ({VOYAGES}) v GROUP BY study_area""")
 def voyage_summary(spark, sf):
     """Per-area summary of the voyage table."""
     return PR.voyage_summary(voyages(spark, sf))
+
+
+@register("final_sort", f"""
+SELECT study_area, source_year, seilas_id, arrival_time, departure_time FROM ({VOYAGES}) v""")
+def final_sort(spark, sf):
+    """Voyages ordered by area, year, arrival, departure (nulls last) — a range-
+    partitioned global sort, written with ``sortWithinPartitions`` by S13."""
+    v = voyages(spark, sf).select("study_area", "source_year", "seilas_id", "arrival_time", "departure_time")
+    return v.orderBy(F.asc_nulls_last("study_area"), F.asc_nulls_last("source_year"),
+                     F.asc_nulls_last("arrival_time"), F.asc_nulls_last("departure_time"), "seilas_id")
