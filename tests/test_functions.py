@@ -72,3 +72,17 @@ def test_duration_negative_null(spark):
     assert df.select(CL.duration_hours("d", "a").alias("h")).first().h is None
     assert df.select(CL.duration_hours("a", "d").alias("h")).first().h == 2.0
     _ = F
+
+
+def test_exact_quantiles_bracket_path_equals_percentile(spark):
+    """The bounded-memory path (forced with a small accuracy) equals ``percentile``."""
+    from tidewater.operators.quantiles import exact_quantiles
+    df = spark.range(0, 20000).select((F.col("id") % 3).alias("g"),
+                                      ((F.col("id") * 7919) % 10007 / F.lit(7.0)).alias("v"))
+    qs = [0.1, 0.5, 0.95]
+    got = {r.g: (r.a, r.b, r.c) for r in exact_quantiles(df, ["g"], "v", qs, ["a", "b", "c"], accuracy=500).collect()}
+    exp = {r.g: (r.a, r.b, r.c) for r in df.groupBy("g").agg(
+        *[F.percentile("v", q).alias(n) for q, n in zip(qs, ["a", "b", "c"])]).collect()}
+    assert got.keys() == exp.keys()
+    for k in got:
+        assert all(abs(x - y) < 1e-9 for x, y in zip(got[k], exp[k]))

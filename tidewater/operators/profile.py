@@ -2,7 +2,8 @@
 
 Every profile is one (or a few) grouped aggregates; counts per value use
 ``groupBy().count()`` with partial aggregation, distinct counts use
-``countDistinct`` (exact), quantiles use exact ``percentile``.  Several
+``countDistinct`` (exact), quantiles are exact: ``percentile`` on panel-sized
+groups, ``exact_quantiles`` (bounded memory) on data-sized groups.  Several
 value columns are profiled in one pass by unpivoting to (column, value)
 rows first, so the input is scanned once.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.clean import clean_text
+from .quantiles import exact_quantiles
 
 
 def _c(x) -> Column:
@@ -154,7 +156,7 @@ def voyage_summary(voyages: DataFrame) -> DataFrame:
     """Distinct ids, area flags, group counts incl. null, time range, durations."""
     grp = lambda g: F.count(F.when(F.col("skipsgruppe") == g, 1)).alias(f"group_{g.lower()}")
     d = F.col("voyage_duration_hours")
-    return voyages.groupBy("study_area").agg(
+    base = voyages.groupBy("study_area").agg(
         F.count(F.lit(1)).alias("rows"),
         F.countDistinct("seilas_id").alias("unique_voyages"),
         F.countDistinct("skips_id").alias("unique_ships"),
@@ -168,9 +170,13 @@ def voyage_summary(voyages: DataFrame) -> DataFrame:
         F.count(F.when(F.col("skipsgruppe").isNull(), 1)).alias("group_null"),
         F.min("departure_time").alias("first_departure"),
         F.max("arrival_time").alias("last_arrival"),
-        F.round(F.percentile(d, 0.5), 6).alias("duration_median"),
-        F.round(F.avg(d), 6).alias("duration_mean"),
-        F.round(F.percentile(d, 0.95), 6).alias("duration_p95"))
+        F.round(F.avg(d), 6).alias("duration_mean"))
+    # durations are continuous and data-sized: exact quantiles with bounded memory
+    q = exact_quantiles(voyages, ["study_area"], "voyage_duration_hours", [0.5, 0.95],
+                        ["duration_median", "duration_p95"])
+    q = q.select("study_area", F.round("duration_median", 6).alias("duration_median"),
+                 F.round("duration_p95", 6).alias("duration_p95"))
+    return base.join(q, "study_area", "left")
 
 
 # ---------------------------------------------------------------------------
