@@ -90,8 +90,8 @@ def _norwegian_sides(raw: DataFrame, level: str = "municipality") -> DataFrame:
         F.when(F.trim("landkode_ankomst_totegn") == C.HOME_COUNTRY_CODE,
                F.struct(F.lit("arrival").alias("side"), F.trim(place[1]).alias("place"),
                         mmsi.alias("mmsi"), F.col("ankomsttidspunkt").alias("time_text"))))
-    return (raw.select("source_year", F.inline(F.filter(sides, lambda s: s.isNotNull())))
-               .filter(F.col("place").isNotNull()))
+    return (raw.select("source_year", F.explode(sides).alias("__s")).filter(F.col("__s").isNotNull())
+               .select("source_year", "__s.*").filter(F.col("place").isNotNull()))
 
 
 def municipality_activity(raw: DataFrame, level: str = "municipality", by_year: bool = True) -> DataFrame:

@@ -126,9 +126,9 @@ def expand_study_areas(voyages: DataFrame, areas=None) -> DataFrame:
     """One row per (voyage, study area it departs from or arrives in, in Norway)."""
     areas = list(areas or C.STUDY_AREAS)
     dep_m, arr_m = F.col("kommunenavn_avgang"), F.col("kommunenavn_ankomst")
-    cand = F.array_distinct(F.array(dep_m, arr_m))
-    cand = F.filter(cand, lambda a: a.isNotNull() & a.isin(*areas))
-    out = voyages.withColumn("study_area", F.explode(cand))
+    # plain expressions (no lambda) keep the explode inside whole-stage codegen
+    cand = F.array_distinct(F.array(F.when(dep_m.isin(*areas), dep_m), F.when(arr_m.isin(*areas), arr_m)))
+    out = voyages.withColumn("study_area", F.explode(cand)).filter(F.col("study_area").isNotNull())
     dep_flag = CL.area_flag("kommunenavn_avgang", "landkode_avgang_totegn", F.col("study_area"))
     arr_flag = CL.area_flag("kommunenavn_ankomst", "landkode_ankomst_totegn", F.col("study_area"))
     return (out.withColumn("departure_in_study_area", dep_flag)
@@ -163,9 +163,22 @@ def dedupe_voyages(expanded: DataFrame) -> DataFrame:
     return keep_first(expanded, ["source_year", "study_area", "seilas_id"], ORDER_COLUMNS)
 
 
-def prepare_voyages(raw: DataFrame, areas=None) -> DataFrame:
-    """S1 output -> clean -> expand -> dedupe (the voyage table)."""
-    return dedupe_voyages(expand_study_areas(clean_voyages(raw), areas))
+KEY_COLUMNS = ["source_year", "study_area", "seilas_id"]
+EVENT_INPUT_COLUMNS = ["skips_id", "mmsi_nummer", "skipstype", "skipsgruppe", "departure_time",
+                       "arrival_time", "departure_in_study_area", "arrival_in_study_area"]
+
+
+def prepare_voyages(raw: DataFrame, areas=None, columns: list[str] | None = None) -> DataFrame:
+    """S1 output -> clean -> expand -> dedupe (the voyage table).
+
+    ``columns`` narrows the rows before the keep-first aggregate when a caller
+    needs only some columns (the kept row is the same; less data is shuffled).
+    """
+    expanded = expand_study_areas(clean_voyages(raw), areas)
+    if columns is not None:
+        keep = list(dict.fromkeys(KEY_COLUMNS + ORDER_COLUMNS + list(columns)))
+        expanded = expanded.select(*keep)
+    return dedupe_voyages(expanded)
 
 
 # ---------------------------------------------------------------------------
@@ -187,7 +200,8 @@ def voyage_events(voyages: DataFrame, start=C.DATA_START, end=C.DATA_END) -> Dat
                F.struct(F.lit("arrival").alias("t"), F.col("arrival_time").alias("ts"))))
     order = [c for c in ["source_year", *ORDER_COLUMNS] if c in voyages.columns]
     e = (v.select("study_area", "seilas_id", "vessel_key", "mmsi_nummer", "skipstype", "skipsgruppe",
-                  *order, F.explode(F.filter(sides, lambda s: s.isNotNull())).alias("__e"))
+                  *order, F.explode(sides).alias("__e"))
+          .filter(F.col("__e").isNotNull())
           .select("study_area", "seilas_id", "vessel_key", "mmsi_nummer", "skipstype", "skipsgruppe",
                   F.col("__e.ts").alias("event_time"), F.col("__e.t").alias("event_type"), *order))
     lo = F.lit(str(start)).cast("timestamp_ntz")

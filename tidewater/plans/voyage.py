@@ -124,12 +124,12 @@ def clean(spark, sf):
     return VY.clean_voyages(raw(spark, sf))
 
 
-def voyages(spark, sf):
-    return VY.prepare_voyages(raw(spark, sf))
+def voyages(spark, sf, columns=None):
+    return VY.prepare_voyages(raw(spark, sf), columns=columns)
 
 
 def events(spark, sf):
-    return VY.voyage_events(voyages(spark, sf), EVENT_SQL_START, EVENT_SQL_END)
+    return VY.voyage_events(voyages(spark, sf, VY.EVENT_INPUT_COLUMNS), EVENT_SQL_START, EVENT_SQL_END)
 
 
 # ---------------------------------------------------------------------------
@@ -153,9 +153,9 @@ SELECT study_area, seilas_id, skips_id, mmsi_nummer, skipstype, skipsgruppe, dep
        departure_in_study_area, arrival_in_study_area FROM ({VOYAGES}) v""")
 def scan_typed(spark, sf):
     """The typed voyage table, column subset (Parquet between stages, no CSV round trip)."""
-    return voyages(spark, sf).select("study_area", "seilas_id", "skips_id", "mmsi_nummer", "skipstype",
-                                     "skipsgruppe", "departure_time", "arrival_time",
-                                     "departure_in_study_area", "arrival_in_study_area")
+    cols = ["skips_id", "mmsi_nummer", "skipstype", "skipsgruppe", "departure_time", "arrival_time",
+            "departure_in_study_area", "arrival_in_study_area"]
+    return voyages(spark, sf, cols).select("study_area", "seilas_id", *cols)
 
 
 # ---------------------------------------------------------------------------
@@ -439,7 +439,7 @@ SELECT study_area, {', '.join(f'CAST({Q.count_if(f"source_year = {y}")} AS BIGIN
 FROM ({VOYAGES}) v GROUP BY study_area""")
 def area_year_pivot(spark, sf):
     """Voyage-area rows by area x year, zero filled."""
-    return PR.area_year_pivot(voyages(spark, sf), _YEARS)
+    return PR.area_year_pivot(voyages(spark, sf, []), _YEARS)
 
 
 @register("voyage_summary", f"""
@@ -457,7 +457,9 @@ SELECT study_area, COUNT(*) AS rows, COUNT(DISTINCT seilas_id) AS unique_voyages
 FROM ({VOYAGES}) v GROUP BY study_area""")
 def voyage_summary(spark, sf):
     """Per-area summary of the voyage table."""
-    return PR.voyage_summary(voyages(spark, sf))
+    cols = ["skips_id", "mmsi_nummer", "imo_nummer", "skipsgruppe", "departure_time", "arrival_time",
+            "departure_in_study_area", "arrival_in_study_area", "voyage_duration_hours"]
+    return PR.voyage_summary(voyages(spark, sf, cols))
 
 
 @register("final_sort", f"""
@@ -465,6 +467,7 @@ SELECT study_area, source_year, seilas_id, arrival_time, departure_time FROM ({V
 def final_sort(spark, sf):
     """Voyages ordered by area, year, arrival, departure (nulls last) — a range-
     partitioned global sort, written with ``sortWithinPartitions`` by S13."""
-    v = voyages(spark, sf).select("study_area", "source_year", "seilas_id", "arrival_time", "departure_time")
+    v = voyages(spark, sf, ["arrival_time", "departure_time"]).select(
+        "study_area", "source_year", "seilas_id", "arrival_time", "departure_time")
     return v.orderBy(F.asc_nulls_last("study_area"), F.asc_nulls_last("source_year"),
                      F.asc_nulls_last("arrival_time"), F.asc_nulls_last("departure_time"), "seilas_id")
