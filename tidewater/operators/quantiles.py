@@ -25,53 +25,49 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, qs: li
                     names: list[str] | None = None, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """One row per group with one column per quantile (groups without values are absent).
 
-    Groups of at most ``accuracy`` values use ``percentile`` directly (its
-    buffer is bounded by the group size); larger groups use the bracket.
+    Passes over the data: (1) size + approximate brackets per group, (2) exact
+    ``percentile`` for groups of at most ``accuracy`` values (buffer bounded by
+    that) together with the rows-below counts of larger groups, (3) ranking of
+    the bracketed candidates of larger groups.
     """
     names = names or [f"q{int(round(q * 100)):02d}" for q in qs]
     if not group_cols:
         keyed = exact_quantiles(df.withColumn("__g", F.lit(0)), ["__g"], value_col, qs, names, accuracy)
         return keyed.drop("__g")
+    g = list(group_cols)
     v = F.col(value_col).cast("double")
-    base = df.select(*group_cols, v.alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    sizes = base.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
-    sized = base.join(sizes, group_cols)
-    small = (sized.filter(F.col("__n") <= accuracy).groupBy(*group_cols)
-             .agg(*[F.percentile("__v", q).alias(n) for q, n in zip(qs, names)]))
-    big = _bracketed(sized.filter(F.col("__n") > accuracy), group_cols, qs, names, accuracy)
-    return small.unionByName(big)
-
-
-def _bracketed(base: DataFrame, group_cols: list[str], qs: list[float], names: list[str],
-               accuracy: int) -> DataFrame:
-    # n > accuracy and a bracket of 3 error-widths on each side keep the exact
-    # neighbours (ranks k and k+1) strictly inside [lo, hi].
+    base = df.select(*g, v.alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    # n > accuracy and 3 error-widths on each side keep ranks k and k+1 inside [lo, hi]
     eps = 3.0 / accuracy
-    probes = []
-    for q in qs:
-        probes += [max(0.0, q - eps), min(1.0, q + eps)]
-    approx = base.groupBy(*group_cols).agg(
-        F.first("__n").alias("__n"),
-        F.percentile_approx("__v", probes, accuracy).alias("__b"))
-    out = approx
-    for i, (q, name) in enumerate(zip(qs, names)):
-        br = approx.select(*group_cols, F.col("__b")[2 * i].alias("__lo"), F.col("__b")[2 * i + 1].alias("__hi"))
-        joined = base.join(br, group_cols)          # one row per group on the right
-        below = joined.groupBy(*group_cols).agg(
-            F.count(F.when(F.col("__v") < F.col("__lo"), 1)).alias("__below"))
-        cand = (joined.filter((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
-                .join(below, group_cols))
-        pos = F.lit(q) * (F.col("__n") - 1)
-        w = Window.partitionBy(*group_cols).orderBy("__v")
-        ranked = cand.withColumn("__r", F.row_number().over(w) - 1 + F.col("__below"))
-        picked = ranked.filter((F.col("__r") == F.floor(pos)) | (F.col("__r") == F.floor(pos) + 1))
-        val = picked.groupBy(*group_cols).agg(
-            F.max(F.when(F.col("__r") == F.floor(pos), F.col("__v"))).alias("__a"),
-            F.max(F.when(F.col("__r") == F.floor(pos) + 1, F.col("__v"))).alias("__c"),
-            F.first(pos - F.floor(pos)).alias("__f"))
-        # same arithmetic as ``percentile``: (k + 1 - pos) * v[k] + (pos - k) * v[k + 1]
-        res = val.select(*group_cols, F.when(F.col("__c").isNull() | (F.col("__f") == 0), F.col("__a"))
-                         .otherwise((F.lit(1.0) - F.col("__f")) * F.col("__a") + F.col("__f") * F.col("__c"))
-                         .alias(name))
-        out = out.join(res, group_cols, "left")
-    return out.drop("__n", "__b")
+    probes = [p for q in qs for p in (max(0.0, q - eps), min(1.0, q + eps))]
+    approx = base.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"),
+                                  F.percentile_approx("__v", probes, accuracy).alias("__b"))
+    sized = base.join(approx, g)                          # one row per group on the right
+    small = sized.filter(F.col("__n") <= accuracy)
+    big = sized.filter(F.col("__n") > accuracy)
+    exact_small = small.groupBy(*g).agg(*[F.percentile("__v", q).alias(n) for q, n in zip(qs, names)])
+
+    lo = lambda i: F.col("__b")[2 * i]          # noqa: E731
+    hi = lambda i: F.col("__b")[2 * i + 1]      # noqa: E731
+    below = big.groupBy(*g).agg(F.first("__n").alias("__n"),
+                                *[F.count(F.when(F.col("__v") < lo(i), 1)).alias(f"__below{i}")
+                                  for i in range(len(qs))])
+    hits = F.array(*[F.when((F.col("__v") >= lo(i)) & (F.col("__v") <= hi(i)), F.lit(i)) for i in range(len(qs))])
+    cand = big.select(*g, "__v", F.explode(hits).alias("__i")).filter(F.col("__i").isNotNull())
+    cand = cand.join(below, g)
+    below_i = F.element_at(F.array(*[F.col(f"__below{i}") for i in range(len(qs))]), F.col("__i") + 1)
+    q_i = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("__i") + 1)
+    w = Window.partitionBy(*g, "__i").orderBy("__v")
+    pos = q_i * (F.col("__n") - 1)
+    ranked = cand.withColumn("__r", F.row_number().over(w) - 1 + below_i).withColumn("__pos", pos)
+    picked = ranked.filter((F.col("__r") == F.floor("__pos")) | (F.col("__r") == F.floor("__pos") + 1))
+    val = picked.groupBy(*g, "__i").agg(
+        F.max(F.when(F.col("__r") == F.floor("__pos"), F.col("__v"))).alias("__a"),
+        F.max(F.when(F.col("__r") == F.floor("__pos") + 1, F.col("__v"))).alias("__c"),
+        F.first(F.col("__pos") - F.floor("__pos")).alias("__f"))
+    # same arithmetic as ``percentile``: (k + 1 - pos) * v[k] + (pos - k) * v[k + 1]
+    interp = (F.when(F.col("__c").isNull() | (F.col("__f") == 0), F.col("__a"))
+              .otherwise((F.lit(1.0) - F.col("__f")) * F.col("__a") + F.col("__f") * F.col("__c")))
+    exact_big = (val.select(*g, "__i", interp.alias("__q")).groupBy(*g)
+                 .agg(*[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(n) for i, n in enumerate(names)]))
+    return exact_small.unionByName(exact_big)
