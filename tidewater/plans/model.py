@@ -432,3 +432,14 @@ def lookup_join(spark, sf):
                                            F.col("centroid_lon").alias("area_lon"))
     thr = FT.area_thresholds(complete_rows(spark, sf)).select("study_area", "high_threshold")
     return rows.join(F.broadcast(cen), "study_area").join(F.broadcast(thr), "study_area")
+
+
+_BUILD_SPLIT = {"validation": "2024-01-15 00:00:00", "test": "2024-01-25 00:00:00"}
+
+
+@register("temporal_split_build", f"""
+SELECT study_area, timestamp_utc, {Q.split_sql(_BUILD_SPLIT)} AS dataset_split FROM ({PANEL_SQL}) p""")
+def temporal_split_build(spark, sf):
+    """P25 (build-time form): validation and test from inclusive start bounds, nothing dropped."""
+    p = panel(spark, sf).select("study_area", "timestamp_utc")
+    return p.withColumn("dataset_split", FT.split_label(F.col("timestamp_utc"), _BUILD_SPLIT))

@@ -471,3 +471,28 @@ def final_sort(spark, sf):
         "study_area", "source_year", "seilas_id", "arrival_time", "departure_time")
     return v.orderBy(F.asc_nulls_last("study_area"), F.asc_nulls_last("source_year"),
                      F.asc_nulls_last("arrival_time"), F.asc_nulls_last("departure_time"), "seilas_id")
+
+
+def _county_sides_sql() -> str:
+    return _sides_sql().replace("trim(kommunenavn_avgang) AS place", "trim(fylkesnavn_avgang) AS place") \
+        .replace("AND kommunenavn_avgang IS NOT NULL", "AND fylkesnavn_avgang IS NOT NULL") \
+        .replace("trim(kommunenavn_ankomst) AS place", "trim(fylkesnavn_ankomst) AS place") \
+        .replace("AND kommunenavn_ankomst IS NOT NULL", "AND fylkesnavn_ankomst IS NOT NULL")
+
+
+@register("county_activity", f"""
+SELECT source_year, place AS county, {Q.count_if("side = 'departure'")} AS departures,
+  {Q.count_if("side = 'arrival'")} AS arrivals, COUNT(*) AS activity, COUNT(DISTINCT mmsi) AS unique_mmsi
+FROM ({_county_sides_sql()}) s GROUP BY ALL""")
+def county_activity(spark, sf):
+    """A7 at county level: Norwegian departures / arrivals per county."""
+    return PR.municipality_activity(raw(spark, sf), level="county")
+
+
+@register("municipality_monthly", f"""
+SELECT place AS municipality, strftime(t, '%Y-%m') AS month, COUNT(*) AS activity
+FROM (SELECT place, TRY_CAST(trim(time_text) AS TIMESTAMP) AS t FROM ({_sides_sql()}) s) x
+WHERE t IS NOT NULL GROUP BY ALL""")
+def municipality_monthly(spark, sf):
+    """A6 per municipality: Norwegian departures + arrivals by month."""
+    return PR.municipality_monthly(raw(spark, sf))

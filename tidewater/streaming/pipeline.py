@@ -228,3 +228,25 @@ def start_hourly(spark: SparkSession, events_path: str, out_path: str, checkpoin
     w = (hourly_counts_stream(ev).writeStream.outputMode("update").foreachBatch(HourlySink(out_path))
          .option("checkpointLocation", checkpoint))
     return w.trigger(**(trigger or {"processingTime": "1 minute"})).start()
+
+
+# ---------------------------------------------------------------------------
+# The whole live path
+# ---------------------------------------------------------------------------
+
+def start_live_pipeline(spark: SparkSession, raw: DataFrame, base: str, checkpoint_root: str | None = None,
+                        trigger: dict | None = None) -> dict:
+    """Start the three queries of the live path on one source.
+
+    ``checkpoint_root`` defaults to a folder under the session's shared
+    ``spark.checkpoint.dir`` (never a machine-local temporary folder).
+    Returns the started queries by name; each can be stopped or awaited.
+    """
+    from ..session import ensure_checkpoint_dir
+    root = (checkpoint_root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/live").rstrip("/")
+    base = base.rstrip("/")
+    return {
+        "positions": start_position_sinks(raw, base, f"{root}/positions", trigger),
+        "events": start_event_sink(raw, f"{base}/events", f"{root}/events", trigger),
+        "hourly": start_hourly(spark, f"{base}/events", f"{base}/hourly", f"{root}/hourly", trigger),
+    }
