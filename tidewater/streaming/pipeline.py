@@ -12,10 +12,10 @@ Counters are derived from the de-duplicated event table, so a redelivered
 message cannot count twice and counters never drift from events.
 
 Every sink is idempotent under micro-batch retry (executor loss): history and
-events append only rows whose key is not stored yet (anti-join restricted to
-the batch's date partitions, which dynamic partition pruning turns into a
-small read); logs are written under ``batch_id=<n>`` with overwrite, and
-readers resolve "last write wins" / "newest wins" with ``max_by`` at read time.
+events append only rows whose key is not stored yet (anti-join against only the
+date partitions the batch touches — a partition filter on its few dates); logs
+are written under ``batch_id=<n>`` with overwrite, and readers resolve "last
+write wins" / "newest wins" with ``max_by`` at read time.
 """
 
 from __future__ import annotations
