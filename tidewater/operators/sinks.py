@@ -16,16 +16,25 @@ from .. import config as C
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                sort_within: list[str] | None = None, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write a table; ``fmt='csv'`` writes a header line."""
+                sort_within: list[str] | None = None, fmt: str = "parquet", mode: str = "overwrite",
+                options: dict | None = None, buckets: int = 16) -> None:
+    """Write a table; ``fmt='csv'`` writes a header line.
+
+    Rows are spread by (partition columns, deterministic hash bucket): one output
+    partition that holds a third of all rows is written by ``buckets`` tasks, and
+    a retried task sends every row to the same bucket again.
+    """
     out = df
     if partition_by:
-        out = out.repartition(*partition_by)
+        bucket = F.pmod(F.xxhash64(*df.columns), F.lit(buckets))
+        out = out.repartition(*partition_by, bucket)
     if sort_within:
         out = out.sortWithinPartitions(*(partition_by or []), *sort_within)
     w = out.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
+    for k, v in (options or {}).items():
+        w = w.option(k, v)
     if fmt == "csv":
         w.option("header", "true").csv(path)
     else:

@@ -443,3 +443,11 @@ def temporal_split_build(spark, sf):
     """P25 (build-time form): validation and test from inclusive start bounds, nothing dropped."""
     p = panel(spark, sf).select("study_area", "timestamp_utc")
     return p.withColumn("dataset_split", FT.split_label(F.col("timestamp_utc"), _BUILD_SPLIT))
+
+
+@register("write_metadata")
+def write_metadata(spark, sf):
+    """Thresholds, feature lists, split ranges and class counts as one nested row
+    (``operators.sinks.write_metadata`` writes it as JSON)."""
+    from ..operators.sinks import metadata_frame
+    return metadata_frame(model_rows(spark, sf), FT.area_thresholds(complete_rows(spark, sf)))

@@ -496,3 +496,21 @@ WHERE t IS NOT NULL GROUP BY ALL""")
 def municipality_monthly(spark, sf):
     """A6 per municipality: Norwegian departures + arrivals by month."""
     return PR.municipality_monthly(raw(spark, sf))
+
+
+@register("scan_voyages", f"SELECT source_year, COUNT(*) AS rows FROM ({RAW}) r GROUP BY source_year")
+def scan_voyages(spark, sf):
+    """Yearly delimited files (latin-1, ';', header, all text) read back with the
+    voyage reader.  The files are written by Spark from the raw view into a fresh
+    folder under the shared checkpoint directory, one folder per year."""
+    import uuid
+
+    from ..operators.sinks import write_table
+    from ..session import scratch_table_path
+    base = scratch_table_path(spark, f"voyage_csv_{uuid.uuid4().hex}")
+    r = raw(spark, sf)
+    years = sorted(x[0] for x in r.select("source_year").distinct().collect())  # a handful of years
+    write_table(r.select("source_year", *C.RAW_VOYAGE_COLUMNS), base, ["source_year"], fmt="csv",
+                options={"sep": ";", "encoding": "ISO-8859-1"})
+    scanned = VY.scan_voyage_files(spark, {y: f"{base}/source_year={y}" for y in years})
+    return scanned.groupBy("source_year").agg(F.count(F.lit(1)).alias("rows"))
