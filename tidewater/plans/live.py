@@ -8,7 +8,7 @@ from .. import config as C
 from ..functions import display as D
 from ..functions import geo as G
 from ..functions import shiptype as S
-from ..functions.timefeat import age_seconds, floor_hour, freshness_label
+from ..functions.timefeat import age_seconds, freshness_label
 from ..operators import hourly as H
 from ..operators import ingest as I
 from ..operators import live as L

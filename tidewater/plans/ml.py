@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import config as C
 from ..operators import features as FT
 from ..operators import livefeatures as LF
 from ..operators import ml as ML
@@ -108,5 +107,3 @@ def feature_importance_top(spark, sf):
     """K9: top 20 features of the forest by importance."""
     return ML.feature_importance_top(spark, _best_forest(spark, sf), ML.feature_names())
 
-
-_ = C
