@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TEST_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -23,7 +24,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True
 
     A fact table stored as fewer splits than the cluster has cores (one file
     with one row group) would run every stage up to the first shuffle in a
-    single task; such scans are spread round-robin over the default
+    single task; such scans are spread by a row hash over the default
     parallelism.  On real data (many files / row groups) the check is false
     and no shuffle is added.
     """
@@ -32,7 +33,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True
         return df
     parallelism = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < parallelism and _size(spark, table_path(sf_dir, name)) > _BALANCE_MIN_BYTES:
-        df = df.repartition(parallelism)
+        # hash of the whole row: deterministic under task retry without the
+        # local sort that round-robin repartitioning needs for the same guarantee
+        df = df.repartition(parallelism, F.xxhash64(*df.columns))
     return df
 
 
