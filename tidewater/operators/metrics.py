@@ -112,9 +112,9 @@ def regression_metrics(df: DataFrame, actual: str = "actual_value", predicted: s
     by = by or []
     y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     if by:
-        # one row per group (areas): bounded, broadcast
+        # one row per group; the planner broadcasts it when (and only when) it is small
         means = df.groupBy(*by).agg(F.avg(y).alias("__mean"))
-        j = df.join(F.broadcast(means), by)
+        j = df.join(means, by)
     else:
         j = df.withColumn("__mean", df.select(F.avg(y)).scalar())
     out = j.groupBy(*by).agg(

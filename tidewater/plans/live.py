@@ -325,14 +325,14 @@ def anti_join_insert(spark, sf):
 @register("semi_join_lookup", f"""
 SELECT s.mmsi, s."timestamp" FROM ({POS}) s
 WHERE s."timestamp" < TIMESTAMP '{SPLIT_TS}'
-  AND s.mmsi IN (SELECT mmsi FROM ({POS}) b WHERE b."timestamp" >= TIMESTAMP '{SPLIT_TS}' AND b.user_id_mod = 0)""".replace(
-    "AND b.user_id_mod = 0", "AND CAST(b.mmsi AS BIGINT) % 2 = 0"))
+  AND s.mmsi IN (SELECT mmsi FROM ({POS}) b WHERE b."timestamp" >= TIMESTAMP '{SPLIT_TS}')""")
 def semi_join_lookup(spark, sf):
-    """Stored (mmsi, time) pairs for the vessels of a new batch (even mmsi)."""
+    """Stored (mmsi, time) pairs of the vessels present in the new batch
+    (stored = before the split time, batch = from it on)."""
     p = positions(spark, sf)
     split = F.lit(SPLIT_TS).cast("timestamp_ntz")
     stored = p.filter(F.col("timestamp") < split).select("mmsi", "timestamp")
-    batch = p.filter((F.col("timestamp") >= split) & (F.col("mmsi").cast("bigint") % 2 == 0))
+    batch = p.filter(F.col("timestamp") >= split)
     return stored.join(batch.select("mmsi"), "mmsi", "left_semi")
 
 
