@@ -48,8 +48,10 @@ def feature_stages(numeric=None, categorical="study_area", scale: bool = False,
     if categorical:
         stages.append(StringIndexer(inputCol=categorical, outputCol=f"{categorical}__idx",
                                     handleInvalid="keep", stringOrderType="alphabetAsc"))
+        # the indexer already maps unseen areas to its extra "unknown" index, so
+        # the encoder sees areas + 1 valid categories: one slot per area + unknown
         stages.append(OneHotEncoder(inputCols=[f"{categorical}__idx"], outputCols=[f"{categorical}__ohe"],
-                                    dropLast=False, handleInvalid="keep"))
+                                    dropLast=False, handleInvalid="error"))
         cat_cols = [f"{categorical}__ohe"]
     out = "features_raw" if scale else "features"
     stages.append(VectorAssembler(inputCols=inputs + cat_cols, outputCol=out, handleInvalid="keep"))
@@ -152,10 +154,16 @@ def fit_candidate(c: Candidate, train: DataFrame, drop_centroids: bool = False,
                   impute: bool = False) -> tuple[PipelineModel, float]:
     stages = feature_stages(scale=c.scale, impute=impute, drop_centroids=drop_centroids)
     data = with_class_weights(train) if c.weighted else train
+    owned = not data.is_cached      # iterative learners must re-read a persisted input, not its lineage
+    if owned:
+        data = data.persist()
     pipe = Pipeline(stages=stages + [build_estimator(c)])
     t0 = time.time()
     model = pipe.fit(data)
-    return model, time.time() - t0
+    secs = time.time() - t0
+    if owned:
+        data.unpersist()
+    return model, secs
 
 
 def evaluate_classifier(model: PipelineModel, data: DataFrame) -> DataFrame:
@@ -217,6 +225,7 @@ def train_regressors(train: DataFrame, test: DataFrame, thresholds: DataFrame,
                      candidates: list[Candidate]) -> DataFrame:
     """M5: count regression; metrics on the clipped prediction and on its class."""
     spark = train.sparkSession
+    train = train.persist()
     rows = []
     for c in candidates:
         pipe = Pipeline(stages=feature_stages() + [build_estimator(c)])
