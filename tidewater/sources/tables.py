@@ -31,8 +31,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True
     df = spark.read.parquet(table_path(sf_dir, name))
     if not balance or name in DIMENSIONS:
         return df
-    parallelism = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < parallelism and _size(spark, table_path(sf_dir, name)) > _BALANCE_MIN_BYTES:
+    try:
+        parallelism = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as is
+        return df
+    if splits < parallelism and _size(spark, table_path(sf_dir, name)) > _BALANCE_MIN_BYTES:
         # hash of the whole row: deterministic under task retry without the
         # local sort that round-robin repartitioning needs for the same guarantee
         df = df.repartition(parallelism, F.xxhash64(*df.columns))
