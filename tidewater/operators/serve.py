@@ -48,7 +48,7 @@ def event_query(events: DataFrame, start=None, end=None, event_type=None, limit:
         e = e.filter(F.col("timestamp") <= _ts(end))
     if event_type is not None:
         e = e.filter(F.col("event_type") == event_type)
-    return e.orderBy(F.desc("timestamp"), "mmsi").limit(min(limit, 1000))
+    return e.orderBy(F.desc("timestamp"), "mmsi", "offset").limit(min(limit, 1000))
 
 
 def _tokens(col):

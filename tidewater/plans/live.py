@@ -457,7 +457,7 @@ def vessel_history(spark, sf):
 @register("event_query", f"""
 SELECT * FROM ({EVENTS_SQL}) e WHERE event_type = 'ENTRY'
   AND "timestamp" BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'
-ORDER BY "timestamp" DESC, mmsi LIMIT 100""")
+ORDER BY "timestamp" DESC, mmsi, "offset" LIMIT 100""")
 def event_query(spark, sf):
     """K4: events in a closed range of one type, newest first, limit 100."""
     return V.event_query(events_of(spark, sf), "2024-01-10 00:00:00", "2024-01-20 00:00:00",
