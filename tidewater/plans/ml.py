@@ -14,7 +14,7 @@ from .registry import register
 
 SMALL = [ML.Candidate("RandomForest_20", "forest", {"numTrees": 20, "maxDepth": 8}),
          ML.Candidate("DecisionTree_8", "tree", {"maxDepth": 8, "minInstancesPerNode": 10}),
-         ML.Candidate("Logistic", "logistic", {"maxIter": 50}, scale=True, weighted=True),
+         ML.Candidate("Logistic", "logistic", {"maxIter": 25}, scale=True, weighted=True),
          ML.Candidate("Boosted_10", "boosted", {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1})]
 
 
