@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -28,9 +29,35 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in _REQUIRED.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers do not see the driver's ``sys.path``; Spark's own file distribution
+    (``addPyFile``) makes the package importable wherever a task runs.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    target = os.path.join(tempfile.mkdtemp(prefix=f"{name}-ship-"), f"{name}.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    out.write(full, os.path.join(name, os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def get_or_create(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "tidewater") -> SparkSession:
     master = master or os.environ.get("TIDEWATER_MASTER", "local[8]")
@@ -61,12 +88,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; we never replace it.  Only when it is
-    unset (local tests) do we create a scratch folder for this session.
+    unset and the master is local (driver and tasks share one machine) do we
+    create a scratch folder for this session; on a cluster that is an error.
     """
     sc = spark.sparkContext
     current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="tidewater-ckpt-", dir="/tmp")
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="tidewater-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
