@@ -118,19 +118,15 @@ def fill_window(counts: dict[int, int], capacity: int) -> dict[int, int]:
     return used
 
 
-def plan_windows(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """[(lengths of a window with their counts, how many windows look so)] covering the whole histogram.
-
-    Each window must hold the longest remaining length, so the list stays short and long pieces are not left over.
-    """
+def _plan_from(histogram: dict[int, int], capacity: int, seed) -> list[tuple[dict[int, int], int]]:
     left = {k: v for k, v in histogram.items() if v > 0}
     plan = []
     while left:
-        longest = max(left)
-        left[longest] -= 1
-        used = fill_window({k: v for k, v in left.items() if v and k <= capacity - longest}, capacity - longest)
-        left[longest] += 1
-        used[longest] = used.get(longest, 0) + 1
+        first = seed(left)
+        left[first] -= 1
+        used = fill_window({k: v for k, v in left.items() if v and k <= capacity - first}, capacity - first)
+        left[first] += 1
+        used[first] = used.get(first, 0) + 1
         times = min(left[k] // c for k, c in used.items())
         for k, c in used.items():
             left[k] -= c * times
@@ -140,6 +136,17 @@ def plan_windows(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
     return plan
 
 
+def plan_windows(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """[(lengths of a window with their counts, how many windows look so)] covering the whole histogram.
+
+    Each window must hold one given length: the longest left over, or in a second plan the most common one, which
+    suits a length that a third of the pieces share.  The plan with fewer windows is returned.
+    """
+    plans = [_plan_from(histogram, capacity, max),
+             _plan_from(histogram, capacity, lambda left: max(left, key=lambda k: (left[k], k)))]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
 def _slots(plan: list[tuple[dict[int, int], int]], capacity: int) -> dict[str, np.ndarray]:
     """The plan by (length, rank): from ``key`` on, ranks go through windows of one kind, ``per`` to a window."""
     first, ranks, rows = 0, {}, []
