@@ -240,7 +240,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = TA
         n = {(r["held"], r["label"]): r["n"] for r in got.groupBy("held", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not n.get((False, 1.0)) or not n.get((False, 0.0)):
             return None
-        fitted = GBTClassifier(featuresCol="v", labelCol="label", maxDepth=5, maxIter=20, stepSize=0.3, seed=7,
+        fitted = GBTClassifier(featuresCol="v", labelCol="label", maxDepth=4, maxIter=15, stepSize=0.3, seed=7,
                                minInstancesPerNode=3).fit(
             got.where("NOT held").select(array_to_vector("x").alias("v"), "label"))
         forest = trees.flatten(fitted)
