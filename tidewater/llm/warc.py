@@ -7,7 +7,7 @@ the line separator is an empty skippable frame, which every Zstandard reader ste
 
 Equal payloads: the record of the smallest page_id is ``response``, the others are ``revisit`` records without a
 payload that refer to it.  Payload groups are found from narrow rows (page_id, SHA-1, SHA-256); payloads
-themselves are shuffled once, by page_id into archives of about ``archive_bytes``.
+themselves are shuffled once, by page_id into archives of about ``archive_bytes``, and meet their group there.
 
 Defined results: null html is the empty payload; null url leaves out the target header; rows that share both
 page_id and payload are all responses; a null page_id is written as a response of its own; an empty table gives no
@@ -132,22 +132,26 @@ def read_archive(data: bytes) -> Iterator[bytes]:
         yield out
 
 
-def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, refers_to."""
+def with_revisits(pages: DataFrame, archives: int, least_bytes: int = 0) -> DataFrame:
+    """page_id, url, payload, refers_to, dealt by page_id into ``archives`` partitions."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                      F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     keys = p.where("page_id IS NOT NULL").where(F.length("payload") >= least_bytes).select(
         "page_id", F.sha1("payload").alias("a"), F.sha2("payload", 256).alias("b"))
     first = keys.groupBy("a", "b").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = keys.join(first, ["a", "b"]).where("page_id > refers_to").select("page_id", "a", "refers_to").distinct()
-    return p.withColumn("a", F.sha1("payload")).join(later, ["page_id", "a"], "left").select("page_id", "url", "payload", "refers_to")
+    later = (keys.join(first, ["a", "b"]).where("page_id > refers_to").select("page_id", "a", "refers_to").distinct()
+             .groupBy(F.col("page_id").alias("key"))
+             .agg(F.map_from_entries(F.collect_list(F.struct("a", "refers_to"))).alias("first_of")))
+    # Rows without a page_id are dealt by their content; they never are revisits.
+    keyed = p.withColumn("key", F.coalesce("page_id", F.xxhash64("url", "payload"))).repartition(archives, "key")
+    refers = F.when(F.col("page_id").isNotNull(), F.try_element_at("first_of", F.sha1("payload")))
+    return keyed.join(later, "key", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, least_bytes: int = 0) -> None:
     """Write all pages as dictionary-compressed archives under ``path``."""
-    rows = with_revisits(pages, least_bytes)
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    count = int(size // archive_bytes) + 1
+    rows = with_revisits(pages, int(size // archive_bytes) + 1, least_bytes)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = [make_record(*r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
@@ -164,8 +168,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
                 held, held_bytes = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
 
-    spread = rows.repartition(count, F.xxhash64("page_id", "url")).select("page_id", "url", "payload", "refers_to")
-    (spread.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    (rows.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
      .write.option("lineSep", SEPARATOR).text(path))
 
 
