@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 TOXIC_DOCS, CLEAN_DOCS = 3000, 6000
+CLEAN_SENTENCES = 6              # of a clean training document, about, chosen by hash
+GAPPED_WEIGHT = 0.3              # of a toxic training document spelt with gaps, when the score is calibrated
 LANDMARKS = 240
 DECAY, MAX_SPAN, WINDOW = 0.75, 7, 12
 SYMBOLS = 40                     # 0 matches nothing, 1-26 a-z, 27 word boundary, the rest shared by other letters
@@ -97,13 +99,33 @@ class Landmarks:
         self.root = vectors[:, keep] / np.sqrt(values[keep]) @ vectors[:, keep].T
 
     def features(self, texts: list[str]) -> np.ndarray:
-        k = np.zeros((len(texts), self.by_id.shape[1]))
-        for n, t in enumerate(texts):
-            u, w = subsequences(t)
-            at = np.minimum(np.searchsorted(self.ids, u), len(self.ids) - 1)
-            hit = self.ids[at] == u
-            k[n] = w[hit] @ self.by_id[at[hit]]
-        return k @ self.root
+        """Nystrom features of short strings, all at once: they are laid end to end with gaps that nothing spans."""
+        place = np.full(SYMBOLS ** 4, -1, dtype=np.int32)
+        place[self.ids] = np.arange(len(self.ids))
+        out = np.zeros((len(texts), self.by_id.shape[1]))
+        for lo in range(0, len(texts), 500):
+            part = [symbols(t) for t in texts[lo:lo + 500]]
+            gap = np.zeros(MAX_SPAN, dtype=np.int32)
+            x = np.concatenate([y for p in part for y in (p, gap)])
+            owner = np.repeat(np.arange(len(part)), [len(p) + MAX_SPAN for p in part])
+            whose, where, weight = [], [], []
+            for a, b, c in _STEPS:
+                n = len(x) - c
+                if n <= 0:
+                    continue
+                q = x[:n], x[c - b:c - b + n], x[c - a:c - a + n], x[c:]
+                col = place[((q[0] * SYMBOLS + q[1]) * SYMBOLS + q[2]) * SYMBOLS + q[3]]
+                at = np.nonzero(col >= 0)[0]
+                whose.append(owner[at])
+                where.append(col[at])
+                weight.append(np.full(len(at), DECAY ** (c + 1)))
+            who = np.concatenate(whose) if whose else np.zeros(0, np.int64)
+            if len(who):
+                order = np.argsort(who, kind="stable")
+                who, cols, w = who[order], np.concatenate(where)[order], np.concatenate(weight)[order]
+                first = np.nonzero(np.diff(who, prepend=-1))[0]
+                out[lo + who[first]] = np.add.reduceat(self.by_id[cols] * w[:, None], first, axis=0)
+        return out @ self.root
 
     def table(self, coefficients: np.ndarray) -> np.ndarray:
         """The weight of every subsequence under the given Nystrom coefficients."""
@@ -203,7 +225,8 @@ def _word_evidence(sample: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
         rows = []
         for t, y in zip(texts, toxic):
             own = set(_TOKEN.findall(t.lower()))
-            rows += [(w, int(y), _signature(own)) for w in own]
+            sig = _signature(own)
+            rows += [(w, int(y), sig) for w in own]
         return rows
 
     counted = (_per_doc(sample, words, "word string, toxic int, sig long", ["word", "toxic", "sig"],
@@ -219,12 +242,17 @@ def _gapped(word: str, k: int) -> str:
             "".join(c + ("_" if i % 2 else "") for i, c in enumerate(word)), word[:1] + "x" + word[1:]][k % 8]
 
 
+def _spelt_with_gaps(text: str, gains: dict[str, float]) -> str:
+    return _TOKEN.sub(lambda m: _gapped(m[0], 1 + zlib.crc32(f"{m.start()}".encode()) % 7) if m[0] in gains else m[0], text.lower())
+
+
 def _windows_of_sentences(gains: dict[str, float]):
     """Sentences as windows: around the strongest word of toxic ones, around hash-chosen words of clean ones."""
     def rows(texts, toxic):
         out = []
         for t, y in zip(texts, toxic):
             low = t.lower()
+            sentences = sum(1 for _ in _SENTENCE.finditer(low))
             for n, s in enumerate(f" {m[0]} " for m in _SENTENCE.finditer(low)):
                 found = [(m.start(), m[0]) for m in _TOKEN.finditer(s)]
                 if not found:
@@ -236,7 +264,7 @@ def _windows_of_sentences(gains: dict[str, float]):
                     k = zlib.crc32(f"{n} {w}".encode())
                     out.append((s[max(at - 2, 0):at + WINDOW], 1.0))
                     out.append((f" {_gapped(w, k)[:WINDOW + 4]} ", 1.0))
-                elif n < 40:
+                elif zlib.crc32(s.encode()) % max(1, sentences // CLEAN_SENTENCES) == 0:
                     at, w = found[zlib.crc32(s.encode()) % len(found)]
                     out.append((s[max(at - 2, 0):at + WINDOW], 0.0))
                     if n % 8 == 0:
@@ -336,12 +364,17 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     peaks = _per_doc(sample.where("toxic = 1"), lambda t, y: [(m,) for m, _, _ in best_windows(t, held.value)],
                      "margin double", ["margin"], [pa.float64()]).collect()          # bounded by the sample
     over = 0.6 * float(np.median([r["margin"] for r in peaks]))
-    # Rows of evidence, bounded by the sample.
-    rows = _per_doc(sample, lambda t, y: [(e.tolist(), int(label)) for e, label in zip(_evidence(t, held.value, over), y)],
-                    "e array<double>, toxic int", ["e", "toxic"], [pa.list_(pa.float64()), pa.int32()]).collect()
+    # Rows of evidence, bounded by the sample; toxic documents once more with their strongest words spelt with gaps.
+    def evidence(texts, toxic):
+        spelt = [(_spelt_with_gaps(t, strong), 2) for t, y in zip(texts, toxic) if y]
+        every = [*zip(texts, toxic), *spelt]
+        return [(e.tolist(), int(y)) for e, (_, y) in zip(_evidence([t for t, _ in every], held.value, over), every)]
+
+    rows = _per_doc(sample, evidence, "e array<double>, toxic int", ["e", "toxic"], [pa.list_(pa.float64()), pa.int32()]).collect()
     totals = {r["toxic"]: r["n"] for r in labels.where(~held_out(F.col("doc_id"))).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    y = np.array([r["toxic"] for r in rows], dtype=float)
-    w = np.where(y > 0, totals.get(1, 1) / n[1], totals.get(0, 1) / n[0])
+    kind = np.array([r["toxic"] for r in rows])
+    y = (kind > 0).astype(float)
+    w = np.where(y > 0, totals.get(1, 1) / n[1], totals.get(0, 1) / n[0]) * np.where(kind == 2, GAPPED_WEIGHT, 1.0)
     return Model(final, over, _logistic(np.array([r["e"] for r in rows]), y, w * len(w) / w.sum()))
 
 
