@@ -1,0 +1,49 @@
+import random
+
+from pyspark.sql import functions as F
+
+from tidewater.llm.secret_scan import scan_secrets
+
+
+def corpus():
+    rng = random.Random(4)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    upper = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    rows, truth = [], {}
+    for i in range(400):
+        kind = i % 6
+        s = [hexa(40), hexa(18), "AKIA" + upper(16), f"4{rng.randrange(10 ** 15):015d}", f"path/to/section{i % 9}/chapter{i}",
+             f"the-long-report-{1900 + i % 100}"][kind]
+        text = [f'the word token = "{s}" and on', f"a password={s} in the", f"thing, {s} of it", f"number {s} there", f"see {s} now",
+                f"in {s} for"][kind]
+        rows.append((i, "some plain words " * (i % 5) + text))
+        truth[i] = kind < 3
+    return rows, truth
+
+
+def test_findings(spark):
+    rows, truth = corpus()
+    extra = [(900, None), (901, ""), (902, "plain words only"), (903, "x" * 5000), (904, "k " * 100_000 + 'token = "%s"' % ("0a1b2c3d" * 5)),
+             (905, rows[0][1]), (905, rows[0][1]), (906, "\x01a\x01 " + rows[2][1])]
+    df = spark.createDataFrame([(*r, "c", 1.0) for r in rows + extra], "doc_id long, text string, score string, chars double")
+    got = scan_secrets(df).collect()
+    texts = dict(rows + extra)
+    for r in got:
+        assert texts[r["doc_id"]][r["start"]:r["start"] + r["chars"]] == r["candidate"]
+    held = [r for r in got if r["doc_id"] in truth]
+    assert {r["doc_id"] for r in held} == set(truth)
+    assert sum(r["is_secret"] == truth[r["doc_id"]] for r in held) / len(held) > 0.97
+    assert [r["is_secret"] for r in got if r["doc_id"] == 904] == [True]
+    assert len([r for r in got if r["doc_id"] == 905]) == 2
+    assert not [r for r in got if r["doc_id"] in (900, 901, 902, 903)]
+
+
+def test_native_plan_and_empty(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    out = scan_secrets(df)
+    assert out.collect() == []
+    one = scan_secrets(spark.createDataFrame([(1, 'token = "0a1b2c3d0a1b2c3d"')], "doc_id long, text string"))
+    assert [r["is_secret"] for r in one.collect()] == [True]      # one kind of finding only: the rule decides
+    rows, _ = corpus()
+    plan = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
