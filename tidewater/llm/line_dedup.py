@@ -1,7 +1,8 @@
 """Line deduplication by content-defined chunks of lines, with DataFrame expressions only.
 
 Every line is hashed; a rolling hash over the hashes of neighbouring lines chooses where chunks end, so boundaries
-depend on the lines around them alone and fall alike wherever a passage stands.  A line of ``SOLO_CHARS`` or more is
+depend on the lines around them alone and fall alike wherever a passage stands (but none cuts off a text's last
+line alone).  A line of ``SOLO_CHARS`` or more is
 a chunk of its own.  A chunk of several lines (or a solo line) that occurs more than once in the whole table keeps
 its first occurrence, by doc_id, text hash and place; the others go after a comparison of their bytes.
 
@@ -55,7 +56,8 @@ def chunked(docs: DataFrame) -> DataFrame:
     rolled = hashed.select("k1", "k2", "lines", "solo", F.zip_with(
         _shift(F.col("h"), "long"), "h", lambda a, b: F.coalesce(F.shiftright(a * 31 + b, 3) % 2 == 0, F.lit(False))).alias("cut"))
     ends = rolled.select("k1", "k2", "lines", F.zip_with(
-        F.zip_with("cut", _shift(F.col("cut"), "boolean"), lambda a, b: a & ~F.coalesce(b, F.lit(False))),
+        F.transform(F.zip_with("cut", _shift(F.col("cut"), "boolean"), lambda a, b: a & ~F.coalesce(b, F.lit(False))),
+                    lambda x, i: x & (i != F.size("lines") - 2)),
         F.zip_with("solo", _next(F.col("solo"), "boolean"), lambda a, b: a | F.coalesce(b, F.lit(True))),
         lambda a, b: a | b).alias("ends"))
     marked = F.array_join(F.zip_with("lines", "ends", lambda x, e: F.concat(x, F.when(e, F.lit("\x01")).otherwise(F.lit("\n")))), "")
@@ -72,14 +74,15 @@ def _counts(c: Column) -> Column:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, text (without repeated chunks; null if nothing of a text is left), n_chunks, n_removed."""
     dealt = chunked(docs).repartition("k1", "k2")
-    rows = (dealt.select("k1", "k2", F.posexplode("chunks").alias("at", "chunk")).where(_counts(F.col("chunk")))
+    # The outer form (lists are never empty) adds no filter of its own below the exchange, so that it stays the same one.
+    rows = (dealt.select("k1", "k2", F.posexplode_outer("chunks").alias("at", "chunk")).where(_counts(F.col("chunk")))
             .select("k1", "k2", "at", F.xxhash64("chunk").alias("h"), F.length("chunk").alias("n")))
     place = F.struct("k1", "k2", "at")
     repeated = (rows.groupBy("h", "n").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first"))
                 .where("times > 1").select("h", "n", "first"))
     suspects = (rows.join(repeated, ["h", "n"]).groupBy("k1", "k2")
                 .agg(F.collect_list(F.struct("at", "h", "n", "first")).alias("suspects")))
-    texts = (dealt.join(suspects, ["k1", "k2"]).select("k1", "k2", "chunks", F.inline("suspects"))
+    texts = (dealt.join(suspects, ["k1", "k2"]).select("k1", "k2", "chunks", F.inline_outer("suspects"))
              .select("k1", "k2", "at", "h", "n", "first", F.get("chunks", F.col("at")).alias("chunk")))
     kept = texts.where(place == F.col("first")).select("h", "n", F.col("chunk").alias("kept")).distinct()
     same = (texts.where(place != F.col("first")).join(kept, ["h", "n"]).where(F.col("chunk") == F.col("kept"))

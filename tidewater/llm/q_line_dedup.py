@@ -31,7 +31,8 @@ src AS (
   SELECT *, coalesce((((31 * lag(h) OVER w + h) >> 3) % 2) = 0, false) AS cut, coalesce(lead(solo) OVER w, true) AS solo_next
   FROM hashed WINDOW w AS (PARTITION BY r ORDER BY i)
 ), ends AS (
-  SELECT *, solo OR solo_next OR (cut AND NOT coalesce(lag(cut) OVER (PARTITION BY r ORDER BY i), false)) AS e FROM rolled
+  SELECT *, solo OR solo_next OR (cut AND NOT coalesce(lag(cut) OVER (PARTITION BY r ORDER BY i), false)
+                      AND i <> count(*) OVER (PARTITION BY r) - 1) AS e FROM rolled
 ), numbered AS (
   SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM ends
 ), pieces AS (
