@@ -103,8 +103,8 @@ class Landmarks:
         place = np.full(SYMBOLS ** 4, -1, dtype=np.int32)
         place[self.ids] = np.arange(len(self.ids))
         out = np.zeros((len(texts), self.by_id.shape[1]))
-        for lo in range(0, len(texts), 500):
-            part = [symbols(t) for t in texts[lo:lo + 500]]
+        for lo in range(0, len(texts), 200):
+            part = [symbols(t) for t in texts[lo:lo + 200]]
             gap = np.zeros(MAX_SPAN, dtype=np.int32)
             x = np.concatenate([y for p in part for y in (p, gap)])
             owner = np.repeat(np.arange(len(part)), [len(p) + MAX_SPAN for p in part])
@@ -213,9 +213,11 @@ def _per_doc(df: DataFrame, fn, schema: str, names: list[str], kinds: list[pa.Da
     """Rows that ``fn(texts, toxic)`` makes of each batch of sample documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = fn(b.column(0).to_pylist(), b.column(1).to_pylist())
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            for s in range(0, b.num_rows, 128):
+                part = b.slice(s, 128)
+                rows = fn(part.column(0).to_pylist(), part.column(1).to_pylist())
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
     return df.select(F.coalesce("text", F.lit("")).alias("text"), "toxic").mapInArrow(run, schema)
 
 
@@ -288,9 +290,11 @@ def _fit(windows: DataFrame, marks: Landmarks) -> tuple[np.ndarray, float]:
     held = windows.sparkSession.sparkContext.broadcast(marks)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = held.value.features(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], ["x", "label"])
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1000):
+                b = whole.slice(s, 1000)
+                x = held.value.features(b.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], ["x", "label"])
 
     got = windows.mapInArrow(features, "x array<double>, label double").coalesce(4)
     rows = got.select(array_to_vector("x").alias("x"), "label").persist()
@@ -384,8 +388,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, 512):
-                part = b.slice(s, 512)
+            for s in range(0, b.num_rows, 128):
+                part = b.slice(s, 128)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.value.scores(texts), pa.float64())], ["doc_id", "score"])
 
@@ -399,3 +403,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     return score_documents(docs, model).select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The documents, all columns, whose score is below ``threshold``; read once, no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 128):
+                part = b.slice(s, 128)
+                scores = held.value.scores([t or "" for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array([x < threshold for x in scores]))
+
+    return docs.mapInArrow(run, docs.schema)
