@@ -144,17 +144,21 @@ class Matcher:
                 yield item_id, m, k, best, at
 
 
+def _blocks(items: DataFrame, block_items: int) -> Iterator[list[tuple[int, str]]]:
+    """The test items, normalised, in blocks of about ``block_items``."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    blocks = max(1, -(-items.count() // block_items))
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()
+        yield [(r["item_id"], t) for r in rows if (t := normalise(r["text"]))]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row per (document, test item) whose best occurrence is within the item's error budget."""
-    spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // block_items))
 
-    def one(b: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()
-        block = [(r["item_id"], t) for r in rows if (t := normalise(r["text"]))]
-        held = spark.sparkContext.broadcast(block)
+    def one(block: list[tuple[int, str]]) -> DataFrame:
+        held = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(held.value, rate)
@@ -166,4 +170,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_item
                                                  ["doc_id", "item_id", "item_chars", "budget", "distance", "end_at"])
         return source.mapInArrow(search, LEAKS)
 
-    return reduce(DataFrame.unionAll, [one(b) for b in range(blocks)])
+    return reduce(DataFrame.unionAll, [one(b) for b in _blocks(items, block_items)])
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The documents, all columns, that hold no test item within its budget; no shuffle."""
+    at = docs.columns.index("text")
+
+    def keep(df: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+        held = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(held.value, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([next(matcher.leaks(normalise(t.as_py())), None) is None for t in batch.column(at)], pa.bool_()))
+        return df.mapInArrow(run, docs.schema)
+
+    return reduce(keep, _blocks(items, block_items), docs)
