@@ -86,3 +86,30 @@ def test_exact_quantiles_bracket_path_equals_percentile(spark):
     assert got.keys() == exp.keys()
     for k in got:
         assert all(abs(x - y) < 1e-9 for x, y in zip(got[k], exp[k]))
+
+
+def test_rules_against_literal_cases(spark):
+    """Literal cases of the display and cleaning rules."""
+    import datetime as dt
+
+    from tidewater.functions import clean as CL
+    from tidewater.functions.timefeat import age_seconds
+    from tidewater.operators import ingest as I
+    from tidewater.operators import serve as V
+    speeds = spark.createDataFrame([(3.0,), (7.0,), (20.0,), (None,)], "sog double")
+    assert tuple(V.speed_counts(speeds).first()) == (4, 1, 1)
+    t = dt.datetime(2024, 1, 1, 0, 0, 8, 600000)
+    age = spark.createDataFrame([(t, dt.datetime(2024, 1, 1, 0, 0, 10))], "a timestamp_ntz, b timestamp_ntz")
+    assert age.select(age_seconds("a", "b")).first()[0] == 1
+    track = spark.createDataFrame([("1", t), ("1", t + dt.timedelta(seconds=90)), ("2", t)], "mmsi string, timestamp timestamp_ntz")
+    assert {r.mmsi: r.duration_minutes for r in V.track_duration(track).collect()} == {"1": 2, "2": None}
+    raw = spark.createDataFrame([("\t257000001\n",), ("257000001\n",), ("\u00a0 nan \t",), (" a b ",)], "x string")
+    assert [r[0] for r in raw.select(CL.clean_identifier("x")).collect()][0] == "257000001"
+    assert [r[0] for r in raw.select(CL.valid_digits("x", 9)).collect()] == [None] * 4
+    assert [r[0] for r in raw.select(CL.strip("x")).collect()] == ["257000001", "257000001", "nan", "a b"]
+    lines = ['{"mmsi": "1", "msgtime": "2024-01-01T00:00:00Z", "latitude": "62.45", "longitude": 6, "navigationalStatus": 5.0}',
+             '{"mmsi": "1", "msgtime": "2024-01-01T00:00:00Z", "latitude": "abc", "longitude": 6}',
+             '{"mmsi": "1", "msgtime": "2024-01-01T00:00:00Z", "latitude": 62, "longitude": 6, "navigationalStatus": 5.5}']
+    got = I.decode_messages(spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "value string, offset long")).orderBy("offset").collect()
+    assert (got[0].latitude, got[0].longitude, got[0].nav_status, got[0].reject_reason) == (62.45, 6.0, 5, None)
+    assert [r.reject_reason for r in got[1:]] == ["decode", "decode"]

@@ -57,3 +57,24 @@ def test_write_table_and_metadata(spark, scratch):
     assert meta["target"] == C.TARGET_COLUMN and len(meta["numeric_features"]) == 44
     assert set(meta["thresholds"]) <= set(C.STUDY_AREAS)
     assert sum(v["rows"] for v in meta["splits"].values()) == table.count()
+
+
+def test_voyage_files_by_name_and_delimiter(spark, scratch):
+    """Reversed columns with one more, and a comma file, read alike; a missing column raises."""
+    import pytest
+
+    from tidewater import config as C
+    from tidewater.operators import voyage as VY
+    cols = list(C.RAW_VOYAGE_COLUMNS)
+    one, two, bad = (os.path.join(scratch, f"v{i}.csv") for i in range(3))
+    with open(one, "w", encoding="latin-1") as f:
+        f.write(";".join(["extra", *reversed(cols)]) + "\n" + ";".join(["e", *(f"v_{c}" for c in reversed(cols))]) + "\n")
+    with open(two, "w", encoding="latin-1") as f:
+        f.write(",".join(cols) + "\n" + ",".join(f"v_{c}" for c in cols) + "\n")
+    with open(bad, "w", encoding="latin-1") as f:
+        f.write(";".join(cols[1:]) + "\n")
+    for path in (one, two):
+        r = VY.scan_voyage_files(spark, {1996: path}).first()
+        assert [r[c] for c in cols] == [f"v_{c}" for c in cols]
+    with pytest.raises(ValueError):
+        VY.scan_voyage_files(spark, {1996: bad})

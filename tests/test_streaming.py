@@ -78,3 +78,40 @@ def test_position_sinks(spark, scratch):
     assert idx.count() == good.select("mmsi", "timestamp").distinct().count()
     rej = spark.read.parquet(os.path.join(base, "rejects"))
     assert rej.count() == I.decode_messages(raw).filter("reject_reason IS NOT NULL").count()
+
+
+def _lines(spark, rows, folder, name):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as f:
+        for off, mmsi, ts, lat, lon in rows:
+            value = json.dumps({"mmsi": mmsi, "msgtime": ts, "latitude": lat, "longitude": lon, "shipType": 70})
+            f.write(json.dumps({"offset": off, "value": value}) + "\n")
+
+
+def test_a_clock_ahead_cuts_off_nobody(spark, scratch):
+    """One vessel is 60 days ahead of two others; the stream finds the same events and hours as the batch."""
+    from tidewater import config as C
+    from tidewater.operators import hourly as H
+    inside, outside = (62.47, 6.15), (59.0, 3.0)
+    files = [[(1, "257000001", "2024-03-05T10:00:00Z", *outside), (2, "257000001", "2024-03-05T10:10:00Z", *inside)],
+             [(3, "257000002", "2024-01-05T08:00:00Z", *outside), (4, "257000003", "2024-01-05T08:01:00Z", *outside)],
+             [(5, "257000002", "2024-01-05T08:10:00Z", *inside), (6, "257000003", "2024-01-05T09:11:00Z", *inside)],
+             [(5, "257000002", "2024-01-05T08:10:00Z", *inside)]]
+    src = os.path.join(scratch, "in")
+    for i, rows in enumerate(files):
+        _lines(spark, rows, src, f"part-{i}.json")
+        os.utime(os.path.join(src, f"part-{i}.json"), (time.time() - 1000 + i,) * 2)
+    q = P.start_event_sink(P.envelope_file_stream(spark, src, max_files=1), os.path.join(scratch, "ev"),
+                           os.path.join(scratch, "ck"), trigger={"availableNow": True})
+    q.awaitTermination(600)
+    raw = spark.read.schema(P.ENVELOPE_SCHEMA).json(src)
+    batch = L.event_insert(L.geofence_transitions(I.normalize_positions(raw)))
+    got = spark.read.parquet(os.path.join(scratch, "ev")).collect()
+    assert _key(got) == _key(batch.withColumn("timestamp", F.col("timestamp").cast("timestamp")).collect())
+    assert len(got) == 3
+    q = P.start_hourly(spark, os.path.join(scratch, "ev"), os.path.join(scratch, "h"), os.path.join(scratch, "ck2"),
+                       trigger={"availableNow": True})
+    q.awaitTermination(600)
+    cols = ["timestamp_utc", *C.COUNTER_COLUMNS]
+    assert sorted(map(tuple, P.hourly_table(spark, os.path.join(scratch, "h")).select(cols).collect())) == sorted(
+        map(tuple, H.live_hourly_counts(batch).select(cols).collect()))

@@ -16,37 +16,42 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def strip(col) -> Column:
+    """Without white space of any kind (tabs, newlines, no-break spaces) at both ends."""
+    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+\z", "")
+
+
 def clean_text(col) -> Column:
     """trim; null tokens -> null."""
-    t = F.trim(_c(col))
+    t = strip(col)
     return F.when(~t.isin(*C.NULL_TOKENS), t)
 
 
 def clean_identifier(col) -> Column:
     """trim; strip one trailing ``,0`` or ``.0``; null tokens -> null."""
-    t = F.regexp_replace(F.trim(_c(col)), r"[,.]0$", "")
+    t = F.regexp_replace(strip(col), r"[,.]0\z", "")
     return F.when(~t.isin(*C.NULL_TOKENS), t)
 
 
 def clean_numeric(col) -> Column:
     """trim; decimal comma -> point; unparsable -> null."""
-    return F.replace(F.trim(_c(col)), F.lit(","), F.lit(".")).try_cast("double")
+    return F.replace(strip(col), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def valid_digits(col, n: int) -> Column:
     """Keep a cleaned identifier only when it is exactly ``n`` digits."""
     c = _c(col)
-    return F.when(c.rlike(f"^[0-9]{{{n}}}$"), c)
+    return F.when(c.rlike(f"^[0-9]{{{n}}}\\z"), c)
 
 
 def parse_time(col) -> Column:
     """Text -> timestamp (UTC session), bad -> null; result has no zone."""
-    return F.try_to_timestamp(F.trim(_c(col))).cast("timestamp_ntz")
+    return F.try_to_timestamp(strip(col)).cast("timestamp_ntz")
 
 
 def parse_bool(col) -> Column:
     """lower(trim) in the true tokens, else false (null -> false)."""
-    return F.coalesce(F.lower(F.trim(_c(col))).isin(*C.TRUE_TOKENS), F.lit(False))
+    return F.coalesce(F.lower(strip(col)).isin(*C.TRUE_TOKENS), F.lit(False))
 
 
 def in_range(col, low, high, low_inclusive: bool, high_inclusive: bool = True) -> Column:

@@ -56,9 +56,9 @@ def cyclical_columns(hour="hour_local", dow="day_of_week", month="month",
 
 
 def age_seconds(ts, now) -> Column:
-    """Seconds between ``ts`` and the reference time, negative clamped to 0."""
-    diff = F.unix_seconds(_c(now).cast("timestamp")) - F.unix_seconds(_c(ts).cast("timestamp"))
-    return F.greatest(diff, F.lit(0).cast("bigint"))
+    """Whole seconds between ``ts`` and the reference time (the difference is floored), negative clamped to 0."""
+    diff = F.unix_micros(_c(now).cast("timestamp")) - F.unix_micros(_c(ts).cast("timestamp"))
+    return F.greatest(F.floor(diff / 1_000_000), F.lit(0).cast("bigint"))
 
 
 def freshness_label(ts, now) -> Column:

@@ -16,17 +16,13 @@ from .. import config as C
 RAW_SCHEMA = T.StructType([
     T.StructField("mmsi", T.StringType()),
     T.StructField("msgtime", T.StringType()),
-    T.StructField("latitude", T.DoubleType()),
-    T.StructField("longitude", T.DoubleType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("speedOverGround", T.DoubleType()),
-    T.StructField("courseOverGround", T.DoubleType()),
-    T.StructField("trueHeading", T.DoubleType()),
-    T.StructField("navigationalStatus", T.IntegerType()),
-    T.StructField("shipType", T.IntegerType()),
-    T.StructField("rateOfTurn", T.DoubleType()),
+    # Numbers are read as text: "62.45" and 62.45 are the same latitude, 5.0 is status 5.
+    *[T.StructField(c, T.StringType()) for c in ("latitude", "longitude", "name", "speedOverGround", "courseOverGround",
+                                                 "trueHeading", "navigationalStatus", "shipType", "rateOfTurn")],
     T.StructField("_corrupt", T.StringType()),
 ])
+DECIMALS = ["latitude", "longitude", "speedOverGround", "courseOverGround", "trueHeading", "rateOfTurn"]
+INTEGERS = ["navigationalStatus", "shipType"]
 
 POSITION_COLUMNS = ["mmsi", "vessel_name", "latitude", "longitude", "sog", "cog", "heading",
                     "nav_status", "ship_type", "rate_of_turn", "timestamp", "source", "offset"]
@@ -51,22 +47,28 @@ def decode_messages(raw: DataFrame, value: str = "value") -> DataFrame:
     d = raw.withColumn("__j", j)
     m = F.col("__j")
     ts = to_utc(m["msgtime"])
+    number = {c: F.trim(m[c]).try_cast("double") for c in DECIMALS + INTEGERS}
+    unreadable = F.lit(False)
+    for c in DECIMALS + INTEGERS:
+        bad = number[c].isNull() if c in DECIMALS else (number[c].isNull() | (number[c] != F.floor(number[c])))
+        unreadable = unreadable | (m[c].isNotNull() & bad)
+    number |= {c: number[c].try_cast("int") for c in INTEGERS}
     reason = (F.when(text == "", F.lit("blank"))
-               .when(~text.startswith("{") | m["_corrupt"].isNotNull(), F.lit("decode"))
+               .when(~text.startswith("{") | m["_corrupt"].isNotNull() | unreadable, F.lit("decode"))
                .when(m["mmsi"].isNull() | m["latitude"].isNull() | m["longitude"].isNull() |
                      m["msgtime"].isNull(), F.lit("missing_field"))
                .when(ts.isNull(), F.lit("bad_timestamp")))
     return d.select(
         F.when(reason.isNull(), m["mmsi"]).alias("mmsi"),
         F.when(reason.isNull(), m["name"]).alias("vessel_name"),
-        F.when(reason.isNull(), m["latitude"]).alias("latitude"),
-        F.when(reason.isNull(), m["longitude"]).alias("longitude"),
-        F.when(reason.isNull(), m["speedOverGround"]).alias("sog"),
-        F.when(reason.isNull(), m["courseOverGround"]).alias("cog"),
-        F.when(reason.isNull(), m["trueHeading"]).alias("heading"),
-        F.when(reason.isNull(), m["navigationalStatus"]).alias("nav_status"),
-        F.when(reason.isNull(), m["shipType"]).alias("ship_type"),
-        F.when(reason.isNull(), m["rateOfTurn"]).alias("rate_of_turn"),
+        F.when(reason.isNull(), number["latitude"]).alias("latitude"),
+        F.when(reason.isNull(), number["longitude"]).alias("longitude"),
+        F.when(reason.isNull(), number["speedOverGround"]).alias("sog"),
+        F.when(reason.isNull(), number["courseOverGround"]).alias("cog"),
+        F.when(reason.isNull(), number["trueHeading"]).alias("heading"),
+        F.when(reason.isNull(), number["navigationalStatus"]).alias("nav_status"),
+        F.when(reason.isNull(), number["shipType"]).alias("ship_type"),
+        F.when(reason.isNull(), number["rateOfTurn"]).alias("rate_of_turn"),
         F.when(reason.isNull(), ts).alias("timestamp"),
         F.lit(C.DEFAULT_SOURCE).alias("source"),
         F.col("offset"),

@@ -171,7 +171,7 @@ def stratified_subset(df: DataFrame, strata: list[str], key: Column, limit: int,
     q = q.withColumn("__quota", F.when(F.col("__pos") == F.col("__n"), last_req).otherwise(F.col("__req")))
     quotas = q.select("__stratum", "__quota")
     d = d.join(F.broadcast(quotas), "__stratum")
-    salt = F.abs(F.xxhash64("__h")) % salt_buckets
+    salt = F.pmod(F.xxhash64("__h"), F.lit(salt_buckets))
     w1 = Window.partitionBy("__stratum", salt).orderBy("__h")
     d = d.withColumn("__r1", F.row_number().over(w1)).filter(F.col("__r1") <= F.col("__quota"))
     w2 = Window.partitionBy("__stratum").orderBy("__h")

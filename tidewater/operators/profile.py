@@ -146,10 +146,10 @@ def missing_profile(df: DataFrame, columns=None) -> DataFrame:
                        "distinct_values")
 
 
-def area_year_pivot(voyages: DataFrame, years: list[int]) -> DataFrame:
-    """Voyage-area rows by area x year, zero filled (years fixed -> one pass)."""
-    p = voyages.groupBy("study_area").pivot("source_year", years).count().na.fill(0)
-    return p.select("study_area", *[F.col(str(y)).cast("bigint").alias(f"y{y}") for y in years])
+def area_year_pivot(voyages: DataFrame) -> DataFrame:
+    """Voyage-area rows by area x year, zero filled; the years are those of the data."""
+    named = voyages.select("study_area", F.concat(F.lit("y"), "source_year").alias("__y"))
+    return named.groupBy("study_area").pivot("__y").count().na.fill(0)
 
 
 def voyage_summary(voyages: DataFrame) -> DataFrame:

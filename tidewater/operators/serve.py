@@ -105,17 +105,17 @@ def average_speed(current: DataFrame) -> DataFrame:
 
 
 def track_duration(history: DataFrame) -> DataFrame:
-    """Whole minutes between first and last point; fewer than 2 points -> null."""
+    """Minutes between first and last point, rounded half up; fewer than 2 points -> null."""
     mins = F.floor((F.unix_micros(F.max("timestamp").cast("timestamp")) -
-                    F.unix_micros(F.min("timestamp").cast("timestamp"))) / F.lit(60_000_000)).cast("bigint")
+                    F.unix_micros(F.min("timestamp").cast("timestamp"))) / F.lit(60_000_000) + 0.5).cast("bigint")
     return history.groupBy("mmsi").agg(F.count(F.lit(1)).alias("points"),
                                        F.when(F.count(F.lit(1)) >= 2, mins).alias("duration_minutes"))
 
 
 def speed_counts(current: DataFrame) -> DataFrame:
-    """Total, moving (sog >= 5), fast (sog >= 15)."""
+    """Total, moving (5 <= sog < 15), fast (sog >= 15): each vessel is in one category."""
     return current.agg(F.count(F.lit(1)).alias("total"),
-                       F.count(F.when(F.col("sog") >= 5, 1)).alias("moving"),
+                       F.count(F.when((F.col("sog") >= 5) & (F.col("sog") < 15), 1)).alias("moving"),
                        F.count(F.when(F.col("sog") >= 15, 1)).alias("fast"))
 
 

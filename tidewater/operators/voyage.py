@@ -39,10 +39,21 @@ def raw_schema() -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in C.RAW_VOYAGE_COLUMNS])
 
 
-def scan_voyage_files(spark: SparkSession, paths_by_year: dict[int, str], sep: str = ";",
+def _header(spark: SparkSession, path: str, sep: str | None, encoding: str) -> tuple[list[str], str]:
+    """Column names of a file and its delimiter (the one of ``;``, ``,``, tab, ``|`` that splits the header most)."""
+    line = spark.read.option("encoding", encoding).text(path).first()
+    text = (line[0] if line else "").lstrip("\ufeff").rstrip("\r")
+    sep = sep or max(";,\t|", key=text.count)
+    return [c.strip().strip('"') for c in text.split(sep)], sep
+
+
+def scan_voyage_files(spark: SparkSession, paths_by_year: dict[int, str], sep: str | None = None,
                       encoding: str = "ISO-8859-1", missing: str = "error") -> DataFrame:
     """Read yearly files as all-text rows with ``source_year`` and a file-order key.
 
+    Columns are taken by name from each file's header, in any order; further columns are
+    left out and a missing one raises.  The delimiter is detected unless ``sep`` is given.
+
     The order key is (file, split start, position in split) — monotone in the
     file's row order — so "keep first" rules stay deterministic when Spark
     splits a large file.  ``missing='skip'`` drops absent years (single-area
@@ -57,7 +68,11 @@ def scan_voyage_files(spark: SparkSession, paths_by_year: dict[int, str], sep: s
             if missing == "skip":
                 continue
             raise FileNotFoundError(path)
-        df = (spark.read.schema(raw_schema()).option("header", "true").option("sep", sep)
+        names, found = _header(spark, path, sep, encoding)
+        if absent := [c for c in C.RAW_VOYAGE_COLUMNS if c not in names]:
+            raise ValueError(f"{path}: no column {', '.join(absent)}")
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        df = (spark.read.schema(schema).option("header", "true").option("sep", found).option("enforceSchema", "true")
               .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
         frames.append(df.select(
             *C.RAW_VOYAGE_COLUMNS, F.lit(year).cast("int").alias("source_year"),

@@ -142,10 +142,10 @@ def row_count(spark, sf):
     return raw(spark, sf).groupBy("source_year").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("sample_scan")
+@register("sample_scan", f"SELECT * FROM ({RAW}) r ORDER BY source_year, order_1, order_2, order_3, order_4, seilas_id LIMIT 10000")
 def sample_scan(spark, sf):
-    """First 10,000 rows for inspection (the limit is the feature)."""
-    return raw(spark, sf).limit(10000)
+    """First 10,000 rows in file order for inspection (the limit is the feature)."""
+    return raw(spark, sf).orderBy("source_year", *VY.ORDER_COLUMNS, "seilas_id").limit(10000)
 
 
 @register("scan_typed", f"""
@@ -431,15 +431,11 @@ def missing_profile(spark, sf):
     return PR.missing_profile(clean(spark, sf), _MISSING_COLS)
 
 
-_YEARS = list(range(1995, 2002))
-
-
 @register("area_year_pivot", f"""
-SELECT study_area, {', '.join(f'CAST({Q.count_if(f"source_year = {y}")} AS BIGINT) AS y{y}' for y in _YEARS)}
-FROM ({VOYAGES}) v GROUP BY study_area""")
+SELECT * FROM (PIVOT (SELECT study_area, 'y' || source_year AS y FROM ({VOYAGES}) v) ON y USING count(*) GROUP BY study_area)""")
 def area_year_pivot(spark, sf):
     """Voyage-area rows by area x year, zero filled."""
-    return PR.area_year_pivot(voyages(spark, sf, []), _YEARS)
+    return PR.area_year_pivot(voyages(spark, sf, []))
 
 
 @register("voyage_summary", f"""
@@ -498,7 +494,7 @@ def municipality_monthly(spark, sf):
     return PR.municipality_monthly(raw(spark, sf))
 
 
-@register("scan_voyages", f"SELECT source_year, COUNT(*) AS rows FROM ({RAW}) r GROUP BY source_year")
+@register("scan_voyages", f"SELECT source_year, {', '.join(C.RAW_VOYAGE_COLUMNS)} FROM ({RAW}) r")
 def scan_voyages(spark, sf):
     """Yearly delimited files (latin-1, ';', header, all text) read back with the
     voyage reader.  The files are written by Spark from the raw view into a fresh
@@ -513,4 +509,4 @@ def scan_voyages(spark, sf):
     write_table(r.select("source_year", *C.RAW_VOYAGE_COLUMNS), base, ["source_year"], fmt="csv",
                 options={"sep": ";", "encoding": "ISO-8859-1"})
     scanned = VY.scan_voyage_files(spark, {y: f"{base}/source_year={y}" for y in years})
-    return scanned.groupBy("source_year").agg(F.count(F.lit(1)).alias("rows"))
+    return scanned.select("source_year", *C.RAW_VOYAGE_COLUMNS)

@@ -5,8 +5,10 @@ Topology (each arrow is one streaming query with its own checkpoint):
     source (Kafka topic / envelope files) --decode+validate--> foreachBatch:
         rejects (P2), history (S8), latest-state log (S9), search log (S11)
     source --decode--> groupBy(mmsi).transformWithStateInPandas (X2)
-        --dropDuplicatesWithinWatermark (X5)--> foreachBatch: event table (S12)
-    event table (file stream) --withWatermark(7 days), window(1 hour)--> hourly log (X3)
+        --foreachBatch--> event table (S12), repeated keys removed against the table (X5)
+    event table (file stream) --foreachBatch--> hourly increments (X3), merged on read
+
+No stage has an event-time watermark: a vessel whose clock is ahead cuts off no other vessel's events.
 
 Counters are derived from the de-duplicated event table, so a redelivered
 message cannot count twice and counters never drift from events.
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from ..functions.timefeat import floor_hour
+from ..operators import hourly as H
 from ..operators import ingest as I
 from ..operators import live as L
 from .geofence import EVENT_SCHEMA, geofence_stream
@@ -50,16 +54,17 @@ def envelope_file_stream(spark: SparkSession, path: str, max_files: int | None =
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str = "vessel-positions",
-                 max_offsets: int = C.INGEST_MAX_RECORDS, starting: str = "earliest") -> DataFrame:
+                 max_offsets: int | None = None, starting: str = "earliest") -> DataFrame:
     """Topic source; value as text, offset = arrival order within its partition.
 
     Producers key messages by mmsi (S7), so one vessel stays in one partition
     and its offsets order its positions.  (Not exercised in tests: needs a broker.)
     """
-    df = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-          .option("subscribe", topic).option("startingOffsets", starting)
-          .option("maxOffsetsPerTrigger", max_offsets).load())
-    return df.select(F.col("value").cast("string").alias("value"), "offset", "partition")
+    r = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+         .option("subscribe", topic).option("startingOffsets", starting))
+    if max_offsets:
+        r = r.option("maxOffsetsPerTrigger", max_offsets)
+    return r.load().select(F.col("value").cast("string").alias("value"), "offset", "partition")
 
 
 def kafka_sink(positions: DataFrame, servers: str, topic: str, checkpoint: str):
@@ -167,21 +172,17 @@ class EventSink:
                         ["mmsi", "event_type", "timestamp"])
 
 
-def event_stream(raw: DataFrame, dedupe_watermark: str | None = "7 days", ttl_ms: int | None = None) -> DataFrame:
-    positions = I.normalize_positions(raw)
-    events = geofence_stream(positions, ttl_ms)
-    if dedupe_watermark:
-        events = (events.withWatermark("timestamp", dedupe_watermark)
-                  .dropDuplicatesWithinWatermark(["mmsi", "event_type", "timestamp"]))
-    return events
+def event_stream(raw: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Transitions as they happen.  No event-time watermark: one vessel whose clock runs ahead must not
+    cut off the others; ``EventSink`` removes repeated keys against the stored table."""
+    return geofence_stream(I.normalize_positions(raw), ttl_ms)
 
 
-def start_event_sink(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
-                     dedupe_watermark: str | None = "7 days"):
+def start_event_sink(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     spark = raw.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    w = (event_stream(raw, dedupe_watermark).writeStream.foreachBatch(EventSink(path))
+    w = (event_stream(raw).writeStream.foreachBatch(EventSink(path))
          .option("checkpointLocation", checkpoint))
     return w.trigger(**(trigger or {"processingTime": f"{C.INGEST_MAX_WAIT_MS} milliseconds"})).start()
 
@@ -190,43 +191,50 @@ def start_event_sink(raw: DataFrame, path: str, checkpoint: str, trigger: dict |
 # Hourly counters from the event table
 # ---------------------------------------------------------------------------
 
-def hourly_counts_stream(events: DataFrame, lateness: str = f"{C.HOUR_COUNTER_TTL_DAYS} days") -> DataFrame:
-    """Tumbling 1-hour event-time counters (update mode).  Exact distinct vessels
-    via ``size(collect_set)`` (``countDistinct`` is not allowed on streams)."""
-    from ..functions.shiptype import ship_group
-    grp = ship_group(F.col("ship_type"))
-    cnt = lambda cond: F.count(F.when(cond, 1))
-    return (events.withWatermark("timestamp", lateness)
-            .groupBy(F.window("timestamp", "1 hour").alias("w"))
-            .agg(F.count(F.lit(1)).alias("total_events"),
-                 cnt(F.col("event_type") == "ENTRY").alias("arrivals"),
-                 cnt(F.col("event_type") == "EXIT").alias("departures"),
-                 F.size(F.collect_set("mmsi")).cast("long").alias("unique_vessels"),
-                 *[cnt(grp == g).alias(f"{g}_events") for g in C.SHIP_GROUPS])
-            .select(F.col("w.start").alias("timestamp_utc"), *C.COUNTER_COLUMNS))
+class HourlySink:
+    """foreachBatch writer: increments of each batch of new events per hour, and its (hour, vessel) pairs.
 
+    Events are stored once (``EventSink``), so the increments add up; a late event of any age counts in its own
+    hour.  A batch that is retried overwrites its own folder.  No state is kept in the stream.
+    """
 
-class HourlySink:
     def __init__(self, path: str):
-        self.path = path
+        self.path = path.rstrip("/")
 
-    def __call__(self, updates: DataFrame, batch_id: int) -> None:
-        write_log(updates, self.path, batch_id)
+    def __call__(self, events: DataFrame, batch_id: int) -> None:
+        events = events.cache()
+        counts, pairs = hour_increments(events)
+        write_log(counts, f"{self.path}/counts", batch_id)
+        write_log(pairs, f"{self.path}/vessels", batch_id)
+        events.unpersist()
+
+
+def hour_increments(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counters per hour without distinct vessels, and the (hour, vessel) pairs that give those."""
+    return (H.live_hourly_counts(events).drop("unique_vessels"),
+            events.select(floor_hour("timestamp").alias("timestamp_utc"), "mmsi").distinct())
+
+
+def merge_hours(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Increments summed per hour; distinct vessels through their (hour, vessel) pairs."""
+    sums = [F.sum(c).alias(c) for c in C.COUNTER_COLUMNS if c != "unique_vessels"]
+    seen = (pairs.select("timestamp_utc", "mmsi").distinct().groupBy("timestamp_utc")
+            .agg(F.count("mmsi").alias("unique_vessels")))
+    return (counts.groupBy("timestamp_utc").agg(*sums).join(seen, "timestamp_utc")
+            .select("timestamp_utc", *C.COUNTER_COLUMNS))
 
 
 def hourly_table(spark: SparkSession, path: str) -> DataFrame:
-    """X3 read side: the latest update per hour."""
-    log = spark.read.parquet(path)
-    best = F.max_by(F.struct(*C.COUNTER_COLUMNS), F.col("batch_id"))
-    return log.groupBy("timestamp_utc").agg(best.alias("c")).select("timestamp_utc", "c.*")
+    """X3 read side."""
+    path = path.rstrip("/")
+    return merge_hours(spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/vessels"))
 
 
 def start_hourly(spark: SparkSession, events_path: str, out_path: str, checkpoint: str,
                  trigger: dict | None = None):
     schema = T._parse_datatype_string(EVENT_SCHEMA)
     ev = spark.readStream.schema(schema).parquet(events_path)
-    w = (hourly_counts_stream(ev).writeStream.outputMode("update").foreachBatch(HourlySink(out_path))
-         .option("checkpointLocation", checkpoint))
+    w = ev.writeStream.foreachBatch(HourlySink(out_path)).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
