@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 8_000
 TREES, DEPTH = 30, 8
 THRESHOLD = 0.5
 MARK = "\x01"
@@ -33,7 +33,7 @@ MARK = "\x01"
 # A candidate: 12 or more key characters holding a digit, not inside a longer run of them.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])"
 # With a name and an equals sign in front, the value after it, 8 or more characters.
-ASSIGNED = r"(?<=[A-Za-z_]{1,40}=)[^\s\"'=&<>]{8,}"
+ASSIGNED = r"(?<=[A-Za-z_]=)[^\s\"'=&<>]{8,}"
 # Public key formats, and names under which credentials are kept.
 KNOWN = (r"^(AKIA|ASIA)[0-9A-Z]{12,}$|^gh[pousr]_[A-Za-z0-9]{20,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^eyJ[A-Za-z0-9_-]{10,}"
          r"|^sk[-_](live|test)?[-_]?[A-Za-z0-9]{16,}$|^AIza[0-9A-Za-z_-]{30,}$")
@@ -50,7 +50,8 @@ FEATURES = ["chars", "digits", "uppers", "lowers", "symbols", "kinds", "changes"
 def segments(docs: DataFrame) -> DataFrame:
     """doc, place in the document's list, segment: texts cut around their candidates, which take the odd places."""
     t = F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(MARK), F.lit(" "))
-    cut = F.regexp_replace(t, f"({CANDIDATE}|{ASSIGNED})", f"{MARK}$1{MARK}")
+    # Every candidate holds a digit or follows an equals sign; texts with neither need no search.
+    cut = F.when(t.rlike("[0-9=]"), F.regexp_replace(t, f"({CANDIDATE}|{ASSIGNED})", f"{MARK}$1{MARK}")).otherwise(F.lit(""))
     parts = F.split(cut, MARK)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), parts.alias("parts"))
 
@@ -111,8 +112,10 @@ def scan_secrets(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, threshold: flo
     sample = docs.join(F.broadcast(ids), "doc_id", "left_semi")        # at most sample_docs ids
     rows = with_features(candidates(segments(sample))).dropDuplicates(["candidate", "before"]).withColumn("label", rule().cast("double"))
     # Findings once more without their neighbours' words.
-    bare = rows.withColumns({"name_left": F.lit(0.0), "equals_left": F.lit(0.0), "quoted": F.lit(0.0)})
-    train = rows.unionByName(bare.where("label = 1")).select(*FEATURES, "label").coalesce(4).persist()
+    beside = ["name_left", "equals_left", "quoted"]
+    twice = rows.withColumn("__bare", F.explode(F.when(F.col("label") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    train = twice.withColumns({c: F.when(F.col("__bare") == 1, 0.0).otherwise(F.col(c)) for c in beside}).select(
+        *FEATURES, "label").coalesce(4).persist()
     try:
         n = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         if len(n) < 2:
