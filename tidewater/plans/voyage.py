@@ -507,6 +507,7 @@ def scan_voyages(spark, sf):
     r = raw(spark, sf)
     years = sorted(x[0] for x in r.select("source_year").distinct().collect())  # a handful of years
     write_table(r.select("source_year", *C.RAW_VOYAGE_COLUMNS), base, ["source_year"], fmt="csv",
-                options={"sep": ";", "encoding": "ISO-8859-1"})
+                options={"sep": ";", "encoding": "ISO-8859-1",
+                                                                  "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
     scanned = VY.scan_voyage_files(spark, {y: f"{base}/source_year={y}" for y in years})
     return scanned.select("source_year", *C.RAW_VOYAGE_COLUMNS)
