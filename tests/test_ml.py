@@ -37,4 +37,19 @@ def test_feature_vector_width(spark):
     rows = M.model_rows(spark, SF001)
     p = Pipeline(stages=ML.feature_stages(scale=True)).fit(rows)
     w = p.transform(rows).select(F.size(vector_to_array("features")).alias("w")).first().w
-    assert w == len(C.NUMERIC_FEATURES) + len(C.STUDY_AREAS) + 1   # one-hot keeps an unknown slot
+    assert w == len(C.NUMERIC_FEATURES) + len(C.STUDY_AREAS)
+    unknown = rows.limit(1).withColumn("study_area", F.lit("Nowhere"))
+    v = p.transform(unknown).select(vector_to_array("features").alias("v")).first().v
+    assert v[len(C.NUMERIC_FEATURES):] == [0.0] * len(C.STUDY_AREAS)
+    known = p.transform(rows).select(vector_to_array("features").alias("v")).limit(50).collect()
+    assert all(sorted(r.v[len(C.NUMERIC_FEATURES):])[-1] == 1.0 for r in known)      # one-hot slots are not scaled
+
+
+def test_boosted_probabilities(spark):
+    rows = M.model_rows(spark, SF001)
+    train = rows.filter(F.col("dataset_split") == "train")
+    model, _ = ML.fit_candidate(ML.Candidate("b", "boosted", {"maxIter": 3, "maxDepth": 3}), train)
+    scored = ML.score_batch(model, rows.filter(F.col("dataset_split") != "train"), "b").collect()
+    assert all(abs(sum(r.probabilities.values()) - 1) < 1e-9 and r.confidence < 1 for r in scored)
+    assert all(max(r.probabilities, key=r.probabilities.get) == r.predicted_label for r in scored)
+    assert len({round(r.confidence, 6) for r in scored}) > 1

@@ -48,15 +48,16 @@ def feature_stages(numeric=None, categorical="study_area", scale: bool = False,
     if categorical:
         stages.append(StringIndexer(inputCol=categorical, outputCol=f"{categorical}__idx",
                                     handleInvalid="keep", stringOrderType="alphabetAsc"))
-        # the indexer already maps unseen areas to its extra "unknown" index, so
-        # the encoder sees areas + 1 valid categories: one slot per area + unknown
+        # the indexer maps unseen areas to its extra last index, which the encoder drops:
+        # one slot per area, and zeros for an unknown one
         stages.append(OneHotEncoder(inputCols=[f"{categorical}__idx"], outputCols=[f"{categorical}__ohe"],
-                                    dropLast=False, handleInvalid="error"))
+                                    dropLast=True, handleInvalid="error"))
         cat_cols = [f"{categorical}__ohe"]
-    out = "features_raw" if scale else "features"
-    stages.append(VectorAssembler(inputCols=inputs + cat_cols, outputCol=out, handleInvalid="keep"))
-    if scale:
-        stages.append(StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True))
+    if scale:   # numbers only; the one-hot slots stay 0 and 1
+        stages.append(VectorAssembler(inputCols=inputs, outputCol="numbers", handleInvalid="keep"))
+        stages.append(StandardScaler(inputCol="numbers", outputCol="numbers_scaled", withMean=True, withStd=True))
+        inputs = ["numbers_scaled"]
+    stages.append(VectorAssembler(inputCols=inputs + cat_cols, outputCol="features", handleInvalid="keep"))
     return stages
 
 
@@ -65,7 +66,7 @@ def feature_names(numeric=None, areas=None, drop_centroids: bool = False) -> lis
     if drop_centroids:
         numeric = [c for c in numeric if not c.startswith("centroid_")]
     areas = sorted(areas or C.STUDY_AREAS)
-    return numeric + [f"study_area={a}" for a in areas] + ["study_area=<unknown>"]
+    return numeric + [f"study_area={a}" for a in areas]
 
 
 # ---------------------------------------------------------------------------
@@ -193,6 +194,8 @@ def train_and_validate(train: DataFrame, valid: DataFrame, candidates: list[Cand
         m = MT.class_metrics(evaluate_classifier(model, valid)).first()
         rows.append((c.name, c.family, m["accuracy"], m["macro_f1"], m["weighted_f1"], round(secs, 3)))
         models[c.name] = model
+    train.unpersist()
+    valid.unpersist()
     df = spark.createDataFrame(rows, "model string, family string, accuracy double, macro_f1 double, "
                                      "weighted_f1 double, train_seconds double")
     return df, models
@@ -239,6 +242,7 @@ def train_regressors(train: DataFrame, test: DataFrame, thresholds: DataFrame,
                        FT.regression_to_class(F.col("clipped"), F.col("high_threshold")).alias("predicted"))
         m = MT.class_metrics(cls).first()
         rows.append((c.name, reg["mae"], reg["rmse"], reg["r2"], m["macro_f1"], round(secs, 3)))
+    train.unpersist()
     return spark.createDataFrame(rows, "model string, mae double, rmse double, r2 double, macro_f1 double, "
                                        "train_seconds double")
 
@@ -254,11 +258,15 @@ def score_batch(model: PipelineModel, rows: DataFrame, model_name: str,
     s = model.transform(rows)
     if "probability" in s.columns:
         probs = vector_to_array("probability")
-    else:  # OneVsRest has no probability column: one-hot of the prediction
-        probs = F.transform(F.array(*[F.lit(i) for i in range(3)]),
-                            lambda i: F.when(i == F.col("prediction").cast("int"), 1.0).otherwise(0.0))
+    else:  # one boosted model per class: each margin F gives 1 / (1 + exp(-2 F)); the three are scaled to sum 1
+        each = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        total = F.aggregate("__e", F.lit(0.0), lambda acc, p: acc + p)
+        s = s.withColumn("__e", each)
+        probs = F.transform("__e", lambda p: p / total)
     names = F.array(*[F.lit(n) for n in C.CLASS_NAMES])
-    s = s.withColumn("__p", probs)
+    # a class that the training rows do not hold has no model: probability 0
+    s = s.withColumn("__q", probs)
+    s = s.withColumn("__p", F.concat("__q", F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(len(C.CLASS_NAMES)) - F.size("__q")))))
     return s.select(*keep,
                     F.col("prediction").cast("int").alias("predicted_class"),
                     F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted_label"),
