@@ -113,3 +113,17 @@ def test_rules_against_literal_cases(spark):
     got = I.decode_messages(spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "value string, offset long")).orderBy("offset").collect()
     assert (got[0].latitude, got[0].longitude, got[0].nav_status, got[0].reject_reason) == (62.45, 6.0, 5, None)
     assert [r.reject_reason for r in got[1:]] == ["decode", "decode"]
+
+
+def test_exact_quantiles_ties_and_small_groups(spark):
+    """Groups of 1 to 400 rows, one with a third of its rows equal, equal ``percentile`` on the same path."""
+    from pyspark.sql import functions as F
+
+    from tidewater.operators.quantiles import exact_quantiles
+    rows = [(n, float((i * 37) % 101) if i % 3 else 50.0) for n in (1, 2, 3, 7, 40, 400) for i in range(n)]
+    df = spark.createDataFrame(rows + [(9, None), (9, float("nan"))], "g int, v double")
+    qs = [0.0, 0.05, 0.5, 0.9, 0.95, 1.0]
+    names = [f"p{i}" for i in range(len(qs))]
+    exp = {r[0]: tuple(r)[1:] for r in df.where("v IS NOT NULL AND NOT isnan(v)").groupBy("g").agg(*[F.percentile("v", q) for q in qs]).collect()}
+    assert {r[0]: tuple(r)[1:] for r in exact_quantiles(df, ["g"], "v", qs, names).collect()} == exp
+    assert {r[0]: tuple(r)[1:] for r in exact_quantiles(df, ["g"], "v", qs, names, accuracy=50).collect()} == exp
