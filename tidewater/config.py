@@ -137,10 +137,8 @@ FINAL_SPLIT = {"train": _dt.datetime(2025, 1, 1), "validation": _dt.datetime(202
 BUILD_SPLIT_MULTI = {"validation": _dt.datetime(2024, 1, 1), "test": _dt.datetime(2025, 1, 1)}
 BUILD_SPLIT_SINGLE = {"validation": _dt.datetime(2025, 1, 1), "test": _dt.datetime(2025, 10, 1)}
 
-# Service settings (defaults, not measurements).
-INGEST_MAX_RECORDS = 250
+# Service settings (defaults, not measurements).
 INGEST_MAX_WAIT_MS = 1000
-HOUR_COUNTER_TTL_DAYS = 7
 GEOFENCE_STATE_TTL_HOURS = 24
 ACTIVE_WINDOW_MINUTES = 15
 EARTH_RADIUS_NM = 3440.065

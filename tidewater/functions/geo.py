@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,4 +59,3 @@ def project_position(lat="latitude", lon="longitude", sog="sog", cog="cog", head
     return F.when(ok, F.degrees(phi2)), F.when(ok, F.degrees(lam2))
 
 
-PI = math.pi

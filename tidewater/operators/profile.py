@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.clean import clean_text
 from .quantiles import exact_quantiles
 
 
@@ -131,19 +130,19 @@ def municipality_ranking(raw: DataFrame, per_year: int = 30, overall: int = 40)
 
 
 def missing_profile(df: DataFrame, columns=None) -> DataFrame:
-    """Null count, null % (2 decimals) and distinct count per column, one pass."""
+    """Null count, null % (2 decimals) and distinct count per column.
+
+    Cells become (column, value) rows that are counted by value first (partial aggregation keeps one row per
+    value and task), so no row is expanded over all columns' distinct sets at once.
+    """
     columns = columns or df.columns
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for c in columns:
-        aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"n__{c}"),
-                 F.countDistinct(c).alias(f"d__{c}")]
-    wide = df.agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n__{c}").alias("missing"),
-                               F.col(f"d__{c}").alias("distinct_values")) for c in columns])
-    long = wide.select("__n", F.inline(pairs))
-    return long.select("column", "missing",
-                       F.round(F.col("missing") * 100.0 / F.col("__n"), 2).alias("missing_pct"),
-                       "distinct_values")
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("__v")) for c in columns])))
+    values = cells.groupBy("column", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    return values.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(F.col("__v").isNull(), F.col("__c"))), F.lit(0)).cast("bigint").alias("missing"),
+        F.round(F.coalesce(F.sum(F.when(F.col("__v").isNull(), F.col("__c"))), F.lit(0)) * 100.0 / F.sum("__c"), 2).alias("missing_pct"),
+        F.count("__v").alias("distinct_values"))
 
 
 def area_year_pivot(voyages: DataFrame) -> DataFrame:
@@ -245,7 +244,3 @@ def with_class_weights(df: DataFrame, label: str = "traffic_level_numeric") -> D
     """Attach A25 weights as a ``weight`` column (classes <= 3 -> broadcast)."""
     w = class_weights(df, label).select(label, "weight")
     return df.join(F.broadcast(w), label, "left")
-
-
-def clean_place(col) -> Column:
-    return clean_text(col)

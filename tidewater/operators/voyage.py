@@ -19,6 +19,7 @@ from .. import config as C
 from ..functions import clean as CL
 from ..functions.timefeat import floor_hour
 
+# Voyage columns by kind, as the yearly files name them.
 IDENTIFIER_COLUMNS = ["seilas_id", "skips_id", "imo_nummer", "mmsi_nummer", "avgangshavn_id",
                       "ankomsthavn_id"]
 NUMERIC_COLUMNS = ["byggeaar", "bruttotonnasje_bt", "doedvekttonn_dwt", "lengde", "bredde",
