@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import staged, table
 from tidewater.llm.decontaminate import without_leaks
-from tidewater.llm.line_dedup import NO_ID, dedup_lines
+from tidewater.llm.line_dedup import NO_ID, dedup_lines, without_passages
 from tidewater.llm.ngram_join import ngram_join
 from tidewater.llm.packing import pack_documents
 from tidewater.llm.toxicity import train, without_toxic
@@ -32,12 +32,28 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     n_chars becomes the length of the remaining text.
     """
     configure(spark)
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__k2")]
+    return _with_others(docs, _chunks(docs))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As ``drop_repeated_lines``; then what still repeats of line runs of over 50 words goes, too."""
+    configure(spark)
+    return _with_others(docs, without_passages(_chunks(docs)))
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """k1, k2 (the key of a document), text without repeated chunks."""
+    return dedup_lines(docs.select("doc_id", "text")).select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), F.col("text_hash").alias("k2"), "text")
+
+
+def _with_others(docs: DataFrame, left: DataFrame) -> DataFrame:
+    """The columns of ``docs`` with the text of ``left`` (k1, k2, text; null for a document that goes)."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2")]
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    others = docs.select(*key, *rest).groupBy("__k1", "__k2").agg(*[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias("__n"))
-    kept = dedup_lines(docs.select("doc_id", "text")).where("text IS NOT NULL").select(
-        "doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("__k1"), F.col("text_hash").alias("__k2"))
-    return kept.join(others, ["__k1", "__k2"]).select(
+    others = docs.select(*key, *rest).groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias("__n"))
+    kept = left.where("text IS NOT NULL").join(others, ["k1", "k2"]).withColumn("doc_id", F.when(F.col("k1") != NO_ID, F.col("k1")))
+    return kept.select(
         *[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
@@ -60,7 +76,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("ngram_join", keep_one_of_each_group),
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_passages), ("ngram_join", keep_one_of_each_group),
           ("decontamination", drop_leaks), ("packing", pack)]
 
 # The toxicity model and the tokeniser have no SQL form; tests hold every stage against a brute-force version.

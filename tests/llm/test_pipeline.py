@@ -85,6 +85,36 @@ def test_ngram_stage_matches_brute_force(spark):
     assert collections.Counter(r["doc_id"] for r in out) == {i: 1 for i in stays}
 
 
+def repeated_passages(rows):
+    """Documents in which a run of lines of over 50 words stands that is in another document, too."""
+    seen = collections.defaultdict(set)
+    for i, t in rows:
+        lines = [x for x in (t or "").split("\n") if x.split()]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[a:b]) > 50:
+                    seen["\n".join(lines[a:b])].add(i)
+                    break
+    return {i for held in seen.values() if len(held) > 1 for i in held}
+
+
+def test_no_passage_stays_in_two_documents(spark):
+    long, half = " ".join(f"s{k}" for k in range(60)), [" ".join(f"{h}{k}" for k in range(30)) for h in "ab"]
+    assert len(long) < 300
+    around = lambda i, t: f"begin {i} " + "own words " * 40 + f"\n{t}\n" + f"end {i} " + "last words " * 40
+    rows = [(i, around(i, long)) for i in range(5)] + [(10, long), (11, f"short\nbefore\n{long}"), (12, long[:-4])]
+    rows += [(i, around(i, f"{half[0]}\n \n{half[1]}")) for i in (20, 21)]
+    assert {0, 1, 2, 3, 4, 10, 11} <= repeated_passages(brute_lines(rows))
+    got = {r["doc_id"]: r["text"] for r in dict(P.STAGES)["line_dedup"](spark, frame(spark, rows), SF).collect()}
+    assert not repeated_passages(got.items())
+    assert 10 not in got and got[11] == "short\nbefore" and all(got[i] == dict(rows)[i] for i in (0, 12, 20))
+    assert all(got[i] == around(i, "").replace("\n\n", "\n") for i in range(1, 5)) and half[0] not in got[21] and half[1] not in got[21]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = {(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()}
+    left = [(r["doc_id"], r["text"]) for r in dict(P.STAGES)["line_dedup"](spark, docs, SF).collect()]
+    assert repeated_passages(brute_lines(sorted(before))) and not repeated_passages(left)
+
+
 def test_empty_tables(spark):
     none = frame(spark, []).limit(0)
     for _, stage in P.STAGES:

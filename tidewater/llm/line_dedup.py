@@ -11,6 +11,10 @@ narrow rows (document, place, hash, length); only chunks with a repeated hash ar
 third of the documents hold is one row per task after partial aggregation, and the two joins on chunk hashes are
 plain equi-joins whose skewed partitions Spark splits.
 
+``without_passages`` is for what the chunks leave: runs of lines with more than ``PASSAGE_WORDS`` words that still
+stand in two documents, because a chunk's ends differ or a repeated line is no chunk that may go.  From every line that
+holds a word, the fewest lines with so many words are hashed; the document with the smallest key keeps them.
+
 Defined results: null text is the empty text and has nothing to remove; rows that repeat both doc_id and text get
 equal results; a null doc_id sorts first; an empty table gives an empty table; only ``doc_id`` and ``text`` are read.
 """
@@ -20,8 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import words
+
 SOLO_CHARS = 300
 MIN_CHARS = 60
+PASSAGE_WORDS = 50
 NO_ID = -(2 ** 63)
 BLANK = " \t\n\r"
 
@@ -94,3 +101,38 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         F.when(F.size(left) > 0, _plain(F.array_join(F.transform(left, lambda i: F.get(chunks, i)), "\n"))).alias("text"))
     return out.select(F.when(F.col("k1") != NO_ID, F.col("k1")).alias("doc_id"), F.col("k2").alias("text_hash"),
                       "text", "n_chunks", "n_removed")
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """k1, k2, text: of each run of lines of more than ``PASSAGE_WORDS`` words only the first document keeps the lines.
+
+    Reads k1, k2 (a document's key) and text.  Lines without a word neither part a run nor go; a text that loses all
+    its other lines is null.  Lines that meet where others went are not searched again.
+    """
+    place = F.struct("k1", "k2")
+    dealt = docs.select("k1", "k2", "text").where("text IS NOT NULL").repartition("k1", "k2")
+    lines = F.split("text", "\n")
+    # Lines that hold a word, with their places; a run is a slice of them, of at most PASSAGE_WORDS + 1.
+    held = dealt.select("k1", "k2", F.filter(F.transform(lines, lambda x, i: F.struct(
+        i.alias("i"), x.alias("line"), F.least(F.size(words(x)), F.lit(PASSAGE_WORDS + 1)).alias("n"))), lambda x: x["n"] > 0).alias("w"))
+    numbers = held.select("k1", "k2", F.col("w.n").alias("n"), F.transform("w", lambda x: F.xxhash64(x["line"])).alias("h"))
+    # 1024 for each line, and its words; as it is once the words are more than PASSAGE_WORDS.
+    fewest = F.transform("n", lambda _, i: F.aggregate(F.slice("n", i + 1, F.lit(PASSAGE_WORDS + 1)), F.lit(0), lambda a, n: F.when(
+        a % 1024 > PASSAGE_WORDS, a).otherwise(a + 1024 + n)))
+    runs = F.transform(fewest, lambda a, i: F.struct(
+        i.alias("at"), F.when(a % 1024 > PASSAGE_WORDS, F.shiftright(a, 10)).alias("size")))
+    rows = (numbers.select("k1", "k2", "h", F.inline_outer(runs)).where("size IS NOT NULL")
+            .select("k1", "k2", "at", "size", F.xxhash64(F.slice("h", F.col("at") + 1, F.col("size"))).alias("h")))
+    repeated = rows.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
+    suspects = (rows.join(repeated, "h").groupBy("k1", "k2")
+                .agg(F.collect_set(F.struct("at", "size", "h", "first")).alias("suspects")))
+    texts = (held.join(suspects, ["k1", "k2"]).select("k1", "k2", "w", F.inline_outer("suspects"))
+             .select("k1", "k2", "h", "first", F.array_join(F.slice(F.col("w.line"), F.col("at") + 1, F.col("size")), "\n").alias("run"),
+                     F.slice(F.col("w.i"), F.col("at") + 1, F.col("size")).alias("places")))
+    kept = texts.where(place == F.col("first")).select("h", F.col("run").alias("kept")).distinct()
+    same = (texts.where(place != F.col("first")).join(kept, "h").where(F.col("run") == F.col("kept"))
+            .groupBy("k1", "k2").agg(F.flatten(F.collect_set("places")).alias("gone")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    rest = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    return (dealt.join(same, ["k1", "k2"], "left").select("k1", "k2", "text", "gone", lines.alias("lines"))
+            .select("k1", "k2", F.when(F.col("gone").isNull(), F.col("text")).when(F.size(words(rest)) > 0, rest).alias("text")))
