@@ -85,6 +85,14 @@ def test_ngram_stage_matches_brute_force(spark):
     assert collections.Counter(r["doc_id"] for r in out) == {i: 1 for i in stays}
 
 
+def test_ngram_stage_uses_five_words(spark):
+    """One word of 49 changed: 5-grams 40 of 50 alike, 4-grams 42 of 50 (under 0.85)."""
+    words = [f"w{k}" for k in range(49)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:24] + ["edit"] + words[25:])), (3, " ".join(words[:24] + ["two", "edits"] + words[26:]))]
+    assert [c for _, _, c in brute_groups(rows)] == [1, 2, 3]
+    assert sorted(r["doc_id"] for r in dict(P.STAGES)["ngram_join"](spark, frame(spark, rows), SF).collect()) == [1, 3]
+
+
 def repeated_passages(rows):
     """Documents in which a run of lines of over 50 words stands that is in another document, too."""
     seen = collections.defaultdict(set)
