@@ -38,7 +38,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As ``drop_repeated_lines``; then what still repeats of line runs of over 50 words goes, too."""
     configure(spark)
-    return _with_others(docs, without_passages(_chunks(docs)))
+    # Written first: the search reads its input in several branches.
+    return _with_others(docs, without_passages(staged(_chunks(docs), "chunks")))
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
