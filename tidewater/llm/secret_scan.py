@@ -1,6 +1,6 @@
 """Secret scan: a random forest over candidate strings, trained from labelled findings, with Spark expressions only.
 
-Candidates are long runs of key-like characters, and quoted or assigned values.  MLlib's random forest judges each by
+Candidates are long runs of key-like characters, quoted or assigned values, and values after a credential's name.  MLlib's random forest judges each by
 its length, transitions between character kinds, how much of it dictionary words cover, whether it looks like a path
 or address, and the words beside it.
 
@@ -31,9 +31,14 @@ THRESHOLD = 0.5
 MARK = "\x01"
 
 # A candidate: 12 or more key characters holding a digit, not inside a longer run of them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])"
 # With a name and an equals sign in front, the value after it, 8 or more characters.
-ASSIGNED = r"(?<=[A-Za-z_]=)[^\s\"'=&<>]{8,}"
+ASSIGNED = r"(?<=[A-Za-z0-9_-]=)[^\s\"'=&<>]{8,}"
+# Between quotes, 8 or more characters without white space.
+QUOTED = r"(?<=[\"'])[^\s\"'<>]{8,}(?=[\"'])"
+# Name of a credential with ':' or '=' behind it, and the value after them, 8 or more characters.
+NAMES = r"(?:pass(?:word|wd)?|secret|token|api_?key|access_?key|auth|credential|private_?key)"
+NAMED_VALUE = rf"((?i:{NAMES})[_-]?[0-9]{{0,3}}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)([^\s\"'=&<>]{{7,}}[^\s\"'=&<>.,;:!?)\]}}]={{0,2}})"
 # Public key formats, and names under which credentials are kept.
 KNOWN = (r"^(AKIA|ASIA)[0-9A-Z]{12,}$|^gh[pousr]_[A-Za-z0-9]{20,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^eyJ[A-Za-z0-9_-]{10,}"
          r"|^sk[-_](live|test)?[-_]?[A-Za-z0-9]{16,}$|^AIza[0-9A-Za-z_-]{30,}$")
@@ -50,8 +55,9 @@ FEATURES = ["chars", "digits", "uppers", "lowers", "symbols", "kinds", "changes"
 def segments(docs: DataFrame) -> DataFrame:
     """doc, place in the document's list, segment: texts cut around their candidates, which take the odd places."""
     t = F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(MARK), F.lit(" "))
-    # Every candidate holds a digit or follows an equals sign; texts with neither need no search.
-    cut = F.when(t.rlike("[0-9=]"), F.regexp_replace(t, f"({CANDIDATE}|{ASSIGNED})", f"{MARK}$1{MARK}")).otherwise(F.lit(""))
+    # Every candidate holds a digit or follows a quote, a colon or an equals sign; texts with none of them need no search.
+    cut = F.when(t.rlike("[0-9=:\"']"), F.regexp_replace(
+        t, f"{NAMED_VALUE}|({ASSIGNED}|{QUOTED}|{CANDIDATE})", f"$1{MARK}$2$3{MARK}")).otherwise(F.lit(""))
     parts = F.split(cut, MARK)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), parts.alias("parts"))
 
