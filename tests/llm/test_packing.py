@@ -81,7 +81,7 @@ def test_pack_common_length_and_repeats(spark):
     # a third of the pieces share one length, some rows repeat
     data = [(i, 0, 700 if i % 3 == 0 else 1 + i * 37 % 900, 5, 9) for i in range(3000)] + [(1, 0, 38, 5, 9)] * 5
     df = spark.createDataFrame(data, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
-    rows = pack(df, bucket_rows=100).collect()
+    rows = pack(df.repartition(5)).collect()
     by_seq, _ = check_layout(rows)
     assert len(rows) == len(data)
     assert len(by_seq) <= 1.1 * sum(d[2] for d in data) / 2048

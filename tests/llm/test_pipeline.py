@@ -6,6 +6,8 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
+
 from tidewater.llm.decontaminate import normalise
 from tidewater.llm.q_line_dedup import rows_sql
 
@@ -85,6 +87,34 @@ def test_ngram_stage_matches_brute_force(spark):
     assert collections.Counter(r["doc_id"] for r in out) == {i: 1 for i in stays}
 
 
+def test_two_texts_under_one_id(spark):
+    """Links and rows go by id and text: another text under an id that goes stays, and its links count."""
+    from tidewater.llm.ngram_join import ngram_join
+    a, b = [" ".join(f"{x}{k}" for k in range(60)) for x in "ab"]
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (None, a + " z"), (None, "c " * 9), (7, None), (7, None), (8, " ")]
+    got = sorted(map(str, map(tuple, ngram_join(frame(spark, rows)).collect())))
+    n = len(grams(a))
+    assert got == sorted(map(str, [(1, n, 1), (1, n, 1), (2, n + 1, 1), (3, n + 1, 1), (None, n + 1, 1), (None, 1, None), (7, 0, 7), (7, 0, 7), (8, 0, 8)]))
+    kept = P.keep_one_of_each_group(spark, frame(spark, rows), SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept if r["text"]) == sorted([("1", a), ("1", b), ("None", "c " * 9), ("8", " ")])
+    assert [r["doc_id"] for r in kept if r["text"] is None] == [7]
+    rows = [(0, a), (1, a), (1, "an unrelated text of some words")]
+    assert {(r["doc_id"], r["text"]) for r in P.keep_one_of_each_group(spark, frame(spark, rows), SF).collect()} == {rows[0], rows[2]}
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in P.STAGES[:-1]])
+def test_clashing_columns_and_repeated_rows(spark, stage):
+    """Extra columns named like internal ones come back as they were; rows that repeat id and text keep their own columns."""
+    names = "k1 k2 c0 c1 th sig rep component n h at chunk chunks kept removed key stays again odd row".split()
+    rows = [(1, "some clean words " * 9), (2, "other clean words, quite a few of them, " * 5), (None, "no id at all"), (3, "")]
+    docs = frame(spark, rows).selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in names])
+    out = dict(P.STAGES)[stage](spark, docs, SF)
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+    twice = docs.unionByName(docs.withColumn("source", F.lit("z later")))
+    got = dict(P.STAGES)[stage](spark, twice, SF).collect()
+    assert sorted(map(str, got)) == sorted(map(str, (docs if stage == "ngram_join" else twice).collect()))
+
+
 def test_ngram_stage_uses_five_words(spark):
     """One word of 49 changed: 5-grams 40 of 50 alike, 4-grams 42 of 50 (under 0.85)."""
     words = [f"w{k}" for k in range(49)]

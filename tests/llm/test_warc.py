@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import struct
+import time
 
 import pytest
 
@@ -40,7 +41,7 @@ def test_write_and_read(spark):
             (6, "u", big), (10, "u", "alone"), (11, "u", "twice"), (11, "u", "twice"), (None, "u", "same"), (12, "u", "a"), (13, "u", "a")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, payload string")
     path = archive_path(spark)
-    write_archives(df, path, archive_bytes=300_000)
+    write_archives(df.repartition(3), path)
     got = read_archives(spark, path).collect()
     assert len(got) == len(rows)
     smallest = {}
@@ -59,6 +60,21 @@ def test_write_and_read(spark):
         assert (r["url"] is None) == (u is None)
 
 
+def test_frame_may_hold_the_separator(spark):
+    """An archive with one small page that holds the bytes of the separator stores them as they are."""
+    text = "P*M\x18\x00\x00\x00\x00"
+    df = spark.createDataFrame([(1, "u", text)], "page_id long, url string, html string").coalesce(1)
+    path = archive_path(spark)
+    write_archives(df, path)
+    assert [bytes(r["payload"]) for r in read_archives(spark, path).collect()] == [text.encode()]
+
+
+def test_reading_is_linear():
+    records = [make_record(i, "u", b"x" * 200, None) for i in range(60_000)]
+    t = time.time()
+    assert sum(1 for _ in read_archive(b"".join(archive_frames(records)))) == 60_000 and time.time() - t < 20
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     path = archive_path(spark)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -14,9 +14,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round links every neighbour to the smallest node in reach (larger neighbours first, then smaller ones), until
     the edges are stars.  Minima are partial aggregates and the join back is a plain equi-join, so a node with very
     many neighbours is no single task's work.  Rounds are cut by tables in the shared folder; the driver sees two
-    numbers a round.
+    numbers a round.  Nodes are of any type that has an order.
     """
-    now = staged(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct(), "edges")
+    now = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
     mark = None
     for _ in range(rounds):
         both = now.unionAll(now.select("b", "a"))
@@ -27,7 +27,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = (down.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
                  .where("a <> b").distinct())
-        now = staged(small, "edges")
+        last, now = now, staged(small, "edges")
+        release(last)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break

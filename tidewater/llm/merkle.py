@@ -22,10 +22,10 @@ import hashlib
 import string
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import numbered, staged
 
 FAN, LEVELS = 8, 4
 SPAN = FAN ** LEVELS            # leaves of one builder
@@ -78,19 +78,6 @@ def leaves(docs: DataFrame) -> DataFrame:
                        F.when(tampered & (lowered != text), leaf_digest(lowered)).alias("other"))
 
 
-def numbered(rows: DataFrame, *by: str) -> DataFrame:
-    """``rows`` (g, id, digest, other) with i, the place in the group ordered ``by`` columns, and n, its size."""
-    order = [F.col(c).asc_nulls_first() for c in ("g", *by)]
-    at = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ordered")
-    at = at.withColumn("part", F.shiftright("at", 33))
-    parts = at.groupBy("g", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("held"))
-    # One row for each partition of a group.
-    group = Window.partitionBy("g")
-    parts = parts.select("g", "part", "first", F.sum("held").over(group).alias("n"),
-                         (F.sum("held").over(group.orderBy("part")) - F.col("held")).alias("before"))
-    return at.join(parts, ["g", "part"]).select("g", "id", "digest", "other", (F.col("at") - F.col("first") + F.col("before")).alias("i"), "n")
-
-
 def _levels(n: int) -> int:
     """Levels that a builder of a tree over ``n`` leaves adds."""
     return LEVELS if n > SPAN else depth(n)
@@ -130,7 +117,7 @@ def build(t: pa.Table) -> pa.Table:
 
 
 def tree(rows: DataFrame) -> list[DataFrame]:
-    """Logs of all tiers, from the leaves up; ``rows`` as of ``numbered``.  The nodes with ``top`` of the last are the roots."""
+    """Logs of all tiers, from the leaves up; ``rows`` (g, id, digest, other) with i and n of ``numbered``.  The nodes with ``top`` of the last are the roots."""
     largest = rows.agg(F.max("n")).first()[0] or 0
     tiers = []
     while True:
@@ -224,10 +211,10 @@ def _down(tiers: list[DataFrame], paths: DataFrame) -> DataFrame:
 
 def manifest(docs: DataFrame) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified for every row of ``docs``."""
-    tiers = tree(numbered(staged(leaves(docs), "leaves"), "id", "digest"))
+    tiers = tree(numbered(staged(leaves(docs), "leaves"), "g", "id", "digest"))
     # The tree of groups: the group itself stands in ``other``.
     groups = tiers[-1].where("top").select(F.lit("").alias("g"), F.lit(None).cast("long").alias("id"), "digest", F.col("g").alias("other"))
-    upper = tree(numbered(groups, "other"))
+    upper = tree(numbered(groups, "g", "other"))
     none = F.array().cast("array<string>")
     start = upper[-1].where("top").select("g", "block", none.alias("lefts"), none.alias("rights"), F.lit(None).cast("string").alias("subroot"),
                                           F.col("digest").alias("root"))

@@ -18,8 +18,9 @@ Nothing is dropped or capped: a common n-gram only moves to the end of the order
 copies meet in blocks, and no pair is a row.
 
 Defined results: null text is the empty text; texts without words have n_shingles 0 and are linked with nothing;
-texts of fewer words than n count as one n-gram; rows that repeat a doc_id are linked like others; a null doc_id
-takes part but never names a component unless its class has no other; an empty table gives an empty table.
+texts of fewer words than n count as one n-gram; rows that repeat a doc_id are linked like others, each by its own text;
+a null doc_id takes part but names no component (one without other ids has a null name); an empty table gives an empty
+table; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import release, staged
 from .components import components
 
 WORDS = 4
@@ -114,22 +115,32 @@ def _needed(n: int, percent: int) -> int:
     return _spare(least_common(n, percent), percent)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, k and th (the key of a row: its id and the hash of its text), text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k"),
+                       F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
+
+
 def profiles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, s1, s2 (signature of the set), needed, prefix (its smallest hashes)."""
+    """doc_id, k, th, n, sig (signature of the set), needed, prefix (its smallest hashes) of ``keyed`` rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 1024):
                 b = batch.slice(s, 1024)
                 rows = []
-                for doc, g in zip(b.column(0).to_pylist(), shingle_sets(_bytes(b.column(1)), words)):
+                for g in shingle_sets(_bytes(b.column(3)), words):
                     n = len(g)
-                    s1, s2 = np.frombuffer(hashlib.md5(g.tobytes()).digest(), dtype=np.int64).tolist()
-                    rows.append((doc, n, s1, s2, _needed(n, percent), g[:n - least_common(n, percent) + _spare(n, percent)]))
-                cols = list(zip(*rows)) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(list(cols[5]), pa.list_(pa.int64()))],
-                                                 ["doc_id", "n", "s1", "s2", "needed", "prefix"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n long, s1 long, s2 long, needed long, prefix array<long>")
+                    rows.append((n, _signature(g), _needed(n, percent), g[:n - least_common(n, percent) + _spare(n, percent)]))
+                n, sig, needed, prefix = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[:3], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(needed, pa.int64()),
+                     pa.array(list(prefix), pa.list_(pa.int64()))], ["doc_id", "k", "th", "n", "sig", "needed", "prefix"])
+    return docs.mapInArrow(run, "doc_id long, k long, th long, n long, sig binary, needed long, prefix array<long>")
+
+
+def _signature(g: np.ndarray) -> bytes:
+    return hashlib.md5(g.tobytes()).digest()
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -137,23 +148,20 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """rep, n, grams of the texts whose set has the signature that was asked for."""
+    """rep, n, grams of the texts whose set has the signature ``rep`` that was asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 1024):
                 b = batch.slice(s, 1024)
-                keep = []
-                for rep, s1, s2, g in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), shingle_sets(_bytes(b.column(1)), words)):
-                    if np.frombuffer(hashlib.md5(g.tobytes()).digest(), dtype=np.int64).tolist() == [s1, s2]:
-                        keep.append((rep, len(g), g))
+                keep = [(rep, len(g), g) for rep, g in zip(b.column(0).to_pylist(), shingle_sets(_bytes(b.column(1)), words)) if _signature(g) == rep]
                 if keep:
                     r, n, g = zip(*keep)
-                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(n, pa.int64()), pa.array(list(g), pa.list_(pa.int64()))],
+                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary()), pa.array(n, pa.int64()), pa.array(list(g), pa.list_(pa.int64()))],
                                                      ["rep", "n", "grams"])
-    return docs.mapInArrow(run, "rep long, n long, grams array<long>")
+    return docs.select("rep", "text").mapInArrow(run, "rep binary, n long, grams array<long>")
 
 
-def block_links(rows: list[tuple[int, int, np.ndarray]], others: list[tuple[int, int, np.ndarray]] | None, percent: int) -> list[tuple[int, int]]:
+def block_links(rows: list[tuple[bytes, int, np.ndarray]], others: list[tuple[bytes, int, np.ndarray]] | None, percent: int) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the links between the classes of two blocks, or inside one (``others`` None)."""
     left, right = rows, rows if others is None else others
     flat = np.concatenate([g for _, _, g in left] + ([] if others is None else [g for _, _, g in right]))
@@ -173,9 +181,9 @@ def block_links(rows: list[tuple[int, int, np.ndarray]], others: list[tuple[int,
     na, nb = np.array([n for _, n, _ in left]), np.array([n for _, n, _ in right])
     o = np.rint(overlap).astype(np.int64)
     linked = 100 * o >= percent * (na[:, None] + nb[None, :] - o)
-    parent: dict[int, int] = {}
+    parent: dict[bytes, bytes] = {}
 
-    def root(x: int) -> int:
+    def root(x: bytes) -> bytes:
         while parent.setdefault(x, x) != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
@@ -206,11 +214,12 @@ def links(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFr
     ordered = (rows.join(shared, "g").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("held")))
     take = F.col("n") - least_common(F.col("n"), percent) + 1 - (F.col("n") - F.size("held"))
     prefix = ordered.where(take > 0).select("rep", F.explode(F.slice("held", F.lit(1), take.cast("int"))["g"]).alias("g"))
-    prefix = staged(prefix, "prefix")
+    prefix = staged(prefix, "prefix")   # rep: the signature of a class
     lead = prefix.groupBy("g").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("df")).where("df > 1").select("g", "lead")
     clusters = components(prefix.join(lead, "g").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
     # Blocks of a cluster by set size: rank in pieces, so that a large cluster is no single sort.
     own = staged(sets.select("rep", "n").join(clusters, sets["rep"] == clusters["node"]).select("rep", "n", "component"), "clusters")
+    release(prefix)
     sizes = own.groupBy("component", "n").agg(F.count(F.lit(1)).alias("c"))
     up_to = Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.withColumn("before", F.coalesce(F.sum("c").over(up_to), F.lit(0))).select("component", "n", "before")
@@ -234,26 +243,39 @@ def links(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFr
                         (np.asarray(g.values) for g in t.column("grams").combine_chunks())))
         one, two = [r for r, s in zip(rows, side) if s == 0], [r for r, s in zip(rows, side) if s == 1]
         found = block_links(one, two or None, percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
-    return seated.groupBy("component", "p", "q").applyInArrow(multiply, "a long, b long")
+    return seated.groupBy("component", "p", "q").applyInArrow(multiply, "a binary, b binary")
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = staged(profiles(source, words, percent), "profiles")
-    full = seen.where("n > 0")
-    classes = staged(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("needed").alias("needed")), "classes")
-    alone = (full.select("s1", F.explode("prefix").alias("g")).groupBy("g")
-             .agg(F.min("s1").alias("s1"), F.max("s1").alias("other")).where("s1 = other")
-             .groupBy("s1").agg(F.count(F.lit(1)).alias("alone")))
+    return linked(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component_id, component (its name by signature, null for an empty set)."""
+    source = keyed(docs)
+    held = staged(profiles(source, words, percent), "profiles")
+    full = held.where("n > 0")
+    # A signature's n-grams are one set, whichever row they come from.
+    alone = staged(full.select("sig", F.explode("prefix").alias("g")).groupBy("g")
+                   .agg(F.min("sig").alias("sig"), F.max("sig").alias("other")).where("sig = other")
+                   .groupBy("sig").agg(F.count(F.lit(1)).alias("alone")), "alone")
+    seen = staged(held.drop("prefix"), "seen")
+    release(held)
+    classes = (seen.where("n > 0").groupBy("sig")
+               .agg(F.min(F.struct("k", "th")).alias("key"), F.min("doc_id").alias("least_id"), F.min("n").alias("n"), F.min("needed").alias("needed")))
     length = F.col("n") - least_common(F.col("n"), percent) + F.greatest(F.lit(1), F.floor(F.col("n") * (100 - percent) / F.lit(100.0)))
-    able = (classes.join(alone, "s1", "left").where(length - F.coalesce("alone", F.lit(0)) >= F.col("needed"))
-            .where("rep IS NOT NULL").select("rep", "s1", "s2"))
-    sets = staged(_sets(source.join(able, source["doc_id"] == able["rep"]).select("rep", "text", "s1", "s2"), words).dropDuplicates(["rep"]), "sets")
+    able = (classes.join(alone, "sig", "left").where(length - F.coalesce("alone", F.lit(0)) >= F.col("needed"))
+            .select(F.col("sig").alias("rep"), "key.k", "key.th"))
+    sets = staged(_sets(source.select("k", "th", "text").join(able, ["k", "th"]), words).dropDuplicates(["rep"]), "sets")
     found = components(links(sets, percent))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select(
-        "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    return (seen.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    release(sets, alone)
+    # Components by signature; the smallest id in one is its name.
+    named = classes.join(found, classes["sig"] == found["node"], "left").select("sig", "least_id", F.coalesce("component", "sig").alias("component"))
+    names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = named.join(names, "component").select("sig", "component", "component_id")
+    return (seen.join(named, "sig", "left")
+            .select("doc_id", "th", F.col("n").alias("n_shingles"),
+                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component"))

@@ -4,9 +4,9 @@
 narrow piece rows (no texts, no ids) move on.  ``plan_windows``: from the histogram of piece lengths (at most
 ``capacity`` entries whatever the data size) a bitset subset-sum dynamic program finds, for the window at hand, the
 multiset of remaining lengths whose sum is closest to capacity; the backtracked multiset is repeated for as many
-windows as its counts allow.  ``pack``: every piece gets its rank among the pieces of its length (a window per
-(length, bucket) plus prefix counts, so a very common length spreads over tasks) and the plan maps that rank to
-(sequence, offset).
+windows as its counts allow.  ``pack``: every piece gets its rank among the pieces of its length (through range
+partitions, so a very common length spreads over tasks) and the plan, at most a few entries for each length, maps that
+rank to (sequence, offset).
 
 Defined results: null text is the empty text (one piece, the end id alone); repeated rows are packed each; an
 empty table gives an empty table; texts of any length are cut freely, each id lies in exactly one piece.
@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import staged
+from .common import numbered, staged
 
 CAPACITY = 2048
 END_ID = 1
@@ -147,64 +146,36 @@ def plan_windows(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
     return min(plans, key=lambda p: sum(times for _, times in p))
 
 
-def _slots(plan: list[tuple[dict[int, int], int]], capacity: int) -> dict[str, np.ndarray]:
-    """The plan by (length, rank): from ``key`` on, ranks go through windows of one kind, ``per`` to a window."""
-    first, ranks, rows = 0, {}, []
+def _slots(plan: list[tuple[dict[int, int], int]], capacity: int) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
+    """The plan by length: from ``rank`` on, pieces go through windows ``first`` and up, ``per`` to a window, from ``at``."""
+    first, ranks, rows = 0, {}, {}
     for used, times in plan:
         at = 0
         for length in sorted(used, reverse=True):
             c, r = used[length], ranks.get(length, 0)
-            rows.append((length, r, first, c, at))
+            rows.setdefault(length, []).append((r, first, c, at))
             ranks[length] = r + c * times
             at += c * length
         first += times
-    rows.sort()
-    a = np.array(rows, dtype=np.int64).reshape(-1, 5)
-    return {"length": a[:, 0], "rank": a[:, 1], "first": a[:, 2], "per": a[:, 3], "at": a[:, 4]}
+    return sorted(rows.items())
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 10_000) -> DataFrame:
-    """Pieces with sequence_id and offset.
-
-    ``bucket_rows``: pieces a ranking bucket holds on average; their number follows the data.
-    """
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Pieces with sequence_id and offset."""
     spark = pieces.sparkSession
     pieces = staged(pieces, "pieces")
-    total = pieces.count()
-    buckets = max(1, total // bucket_rows)
-    keyed = pieces.withColumn("__b", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
-    # Ranks: inside (length, bucket) by a window, before it by prefix sums over the bucket counts.
-    sizes = keyed.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    by_length = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(by_length), F.lit(0)))
-    inside = Window.partitionBy("length", "__b").orderBy("doc_id", "start", "ids_crc32")
-    ranked = (keyed.withColumn("__r", F.row_number().over(inside) - 1)
-              .join(before.select("length", "__b", "__before"), ["length", "__b"])
-              .select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                      (F.col("__r") + F.col("__before")).cast("long").alias("rank")))
-    # At most ``capacity`` rows, whatever the size of the data.
+    # At most ``capacity`` rows, whatever the size of the data; the plan has a few entries for each length.
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = spark.sparkContext.broadcast(_slots(plan_windows(histogram, capacity), capacity))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = slots.value
-        for b in batches:
-            length, rank = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 5))
-            lo, hi = np.searchsorted(s["length"], length, "left"), np.searchsorted(s["length"], length, "right")
-            while True:  # the last slot of this length whose first rank is not above the piece's rank
-                mid = (lo + hi) // 2
-                going = hi - lo > 1
-                if not going.any():
-                    break
-                up = going & (s["rank"][np.minimum(mid, len(s["rank"]) - 1)] <= rank)
-                lo, hi = np.where(up, mid, lo), np.where(going & ~up, mid, hi)
-            d = rank - s["rank"][lo]
-            seq = s["first"][lo] + d // s["per"][lo]
-            off = s["at"][lo] + d % s["per"][lo] * length
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)],
-                                             [*b.schema.names[:5], "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    slots = spark.createDataFrame(_slots(plan_windows(histogram, capacity), capacity),
+                                  "length long, slots array<struct<rank: long, first: long, per: long, at: long>>")
+    ranked = numbered(pieces, "length", "doc_id", "start", "ids_crc32")
+    # The last slot of this length whose first rank is not above the piece's.
+    slot = F.element_at(F.filter("slots", lambda s: s["rank"] <= F.col("i")), -1)
+    further = F.col("i") - F.col("slot.rank")
+    return ranked.join(F.broadcast(slots), "length").withColumn("slot", slot).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
+        (F.col("slot.first") + F.floor(further / F.col("slot.per"))).alias("sequence_id"),
+        (F.col("slot.at") + further % F.col("slot.per") * F.col("length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY,

@@ -6,8 +6,9 @@ Hadoop file system and its commit protocol serve, and a lost task leaves nothing
 the line separator is an empty skippable frame, which every Zstandard reader steps over.
 
 Equal payloads: the record of the smallest page_id is ``response``, the others are ``revisit`` records without a
-payload that refer to it.  Payload groups are found from narrow rows (page_id, SHA-1, SHA-256); payloads
-themselves are shuffled once, by page_id into archives of about ``archive_bytes``, and meet their group there.
+payload that refer to it.  Payload groups are found from narrow rows (page_id, SHA-1, SHA-256), hashed once.  Each task
+that reads pages writes an archive as it goes; payloads are not shuffled unless the table of revisits is too large to
+be joined where pages are read.  A frame may hold any bytes, the separator too: readers follow frames, not separators.
 
 Defined results: null html is the empty payload; null url leaves out the target header; rows that share both
 page_id and payload are all responses; a null page_id is written as a response of its own; an empty table gives no
@@ -18,10 +19,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import random
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import zstandard
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 
 from tidewater.session import ensure_checkpoint_dir
 
-ARCHIVE_BYTES = 24_000_000      # payload bytes of an archive, about
+from .common import release, staged
+
 DICT_BYTES = 32_768
 DICT_SAMPLE_BYTES = 1_500_000   # what the dictionary of an archive is built from, at most
 LEVEL = 3
+READ_BYTES = 8_192              # read at first when a frame is opened
 DICT_MAGIC, EMPTY_MAGIC = 0x184D2A5D, 0x184D2A50
 SEPARATOR = struct.pack("<II", EMPTY_MAGIC, 0).decode("latin-1")
 RECORDS = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
@@ -85,30 +88,33 @@ def parse_record(raw: bytes) -> tuple:
     return (number("X-Page-Id"), size, told, h["WARC-Type"], number("X-Refers-To-Page-Id"), h.get("WARC-Target-URI"), body)
 
 
-def build_dictionary(records: list[bytes], seed: int = 0) -> bytes:
-    """A dictionary from a bounded choice of the archive's records; too few to train on: their own bytes."""
-    order = list(range(len(records)))
-    random.Random(seed).shuffle(order)
-    sample, size = [], 0
-    for i in order:
-        piece = records[i][:65536]
-        if size + len(piece) > DICT_SAMPLE_BYTES:
-            break
-        sample.append(piece)
-        size += len(piece)
+def build_dictionary(sample: list[bytes]) -> bytes:
+    """A dictionary from a bounded number of an archive's records; too few to train on: their own bytes."""
+    pieces = [r[:65536] for r in sample]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, sample, k=1024, d=8, f=18, split_point=1.0).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, pieces, k=1024, d=8, f=18, split_point=1.0).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(sample or records[:1])[:DICT_BYTES]
+        return b"".join(pieces)[:DICT_BYTES]
 
 
-def archive_frames(records: list[bytes]) -> Iterator[bytes]:
-    """The dictionary's skippable frame, then a frame for each record."""
-    data = build_dictionary(records)
+def archive_frames(records: Iterable[bytes]) -> Iterator[bytes]:
+    """The dictionary's skippable frame, then a frame for each record; nothing for no records.
+
+    Only the records that the dictionary is built from are held, ``DICT_SAMPLE_BYTES`` or a single larger one.
+    """
+    records, sample, size = iter(records), [], 0
+    for r in records:
+        sample.append(r)
+        size += min(len(r), 65536)
+        if size >= DICT_SAMPLE_BYTES:
+            break
+    if not sample:
+        return
+    data = build_dictionary(sample)
     yield struct.pack("<II", DICT_MAGIC, len(data)) + data
     compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(data),
                                           write_content_size=True, write_checksum=True)
-    for r in records:
+    for r in chain(sample, records):
         yield compressor.compress(r)
 
 
@@ -124,51 +130,47 @@ def read_archive(data: bytes) -> Iterator[bytes]:
                 reader = zstandard.ZstdDecompressor(dict_data=held)
             at += 8 + size
             continue
-        one = (reader or zstandard.ZstdDecompressor()).decompressobj()
-        out = one.decompress(view[at:])
-        if not one.eof:
-            raise ValueError("frame is cut off")
-        at = len(view) - len(one.unused_data)
-        yield out
-
-
-def with_revisits(pages: DataFrame, archives: int, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, refers_to, dealt by page_id into ``archives`` partitions."""
+        one, out, step = (reader or zstandard.ZstdDecompressor()).decompressobj(), [], READ_BYTES
+        while not one.eof:
+            if at >= len(view):
+                raise ValueError("frame is cut off")
+            out.append(one.decompress(view[at:at + step]))
+            at, step = min(at + step, len(view)), 2 * step
+        at -= len(one.unused_data)      # at most what was read last, however long the archive
+        yield b"".join(out)
+
+
+def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """page_id, url, payload, refers_to of every page."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                      F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    keys = p.where("page_id IS NOT NULL").where(F.length("payload") >= least_bytes).select(
-        "page_id", F.sha1("payload").alias("a"), F.sha2("payload", 256).alias("b"))
+    keys = staged(p.where("page_id IS NOT NULL").where(F.length("payload") >= least_bytes).select(
+        "page_id", F.sha1("payload").alias("a"), F.unhex(F.sha2("payload", 256)).alias("b")), "payload-hashes")
     first = keys.groupBy("a", "b").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = (keys.join(first, ["a", "b"]).where("page_id > refers_to").select("page_id", "a", "refers_to").distinct()
-             .groupBy(F.col("page_id").alias("key"))
-             .agg(F.map_from_entries(F.collect_list(F.struct("a", "refers_to"))).alias("first_of")))
-    # Rows without a page_id are dealt by their content; they never are revisits.
-    keyed = p.withColumn("key", F.coalesce("page_id", F.xxhash64("url", "payload"))).repartition(archives, "key")
-    refers = F.when(F.col("page_id").isNotNull(), F.try_element_at("first_of", F.sha1("payload")))
-    return keyed.join(later, "key", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    later = staged(keys.join(first, ["a", "b"]).where("page_id > refers_to").select("page_id", "a", "refers_to").distinct()
+                   .groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("a", "refers_to"))).alias("first_of")), "revisits")
+    release(keys)
+    # ``later`` is a table of known size: pages stay where they are read unless it is large.
+    refers = F.when(F.col("first_of").isNotNull(), F.try_element_at("first_of", F.sha1("payload")))
+    return p.join(later, "page_id", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, least_bytes: int = 0) -> None:
-    """Write all pages as dictionary-compressed archives under ``path``."""
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    rows = with_revisits(pages, int(size // archive_bytes) + 1, least_bytes)
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+    """Write all pages as dictionary-compressed archives under ``path``, one for each task that holds pages."""
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records = [make_record(*r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        if not records:
-            return
-        held, held_bytes = [], 0
+        records = (make_record(*r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        held, size = [], 0
         for f in archive_frames(records):
-            if SEPARATOR.encode("latin-1") in f[8:]:
-                raise ValueError("a frame holds the separator")   # eight given bytes: never seen
             held.append(f)
-            held_bytes += len(f)
-            if held_bytes > 4_000_000:
+            size += len(f)
+            if size > 4_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
-                held, held_bytes = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
 
-    (rows.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    (with_revisits(pages, least_bytes).mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
      .write.option("lineSep", SEPARATOR).text(path))
 
 
