@@ -8,13 +8,13 @@ stage's ``docs``, which also cuts lineage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import staged, table
+from tidewater.llm.common import release, staged, table
 from tidewater.llm.decontaminate import without_leaks
 from tidewater.llm.line_dedup import NO_ID, dedup_lines, without_passages
-from tidewater.llm.ngram_join import ngram_join
+from tidewater.llm.ngram_join import linked
 from tidewater.llm.packing import pack_documents
 from tidewater.llm.toxicity import train, without_toxic
 from tidewater.session import configure
@@ -43,26 +43,54 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """k1, k2 (the key of a document), text without repeated chunks."""
+    """k1, k2 (the key of a document: id and hash of the text), text without repeated chunks; once for each key."""
     return dedup_lines(docs.select("doc_id", "text")).select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), F.col("text_hash").alias("k2"), "text")
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), F.col("text_hash").alias("k2"), "text").dropDuplicates(["k1", "k2"])
+
+
+def _key() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2")]
+
+
+def _numbered_columns(docs: DataFrame, *without: str) -> list[Column]:
+    """The columns of ``docs`` under names of their own (c0, c1, ...), so that none can clash."""
+    return [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in without]
 
 
 def _with_others(docs: DataFrame, left: DataFrame) -> DataFrame:
-    """The columns of ``docs`` with the text of ``left`` (k1, k2, text; null for a document that goes)."""
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2")]
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    others = docs.select(*key, *rest).groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias("__n"))
-    kept = left.where("text IS NOT NULL").join(others, ["k1", "k2"]).withColumn("doc_id", F.when(F.col("k1") != NO_ID, F.col("k1")))
-    return kept.select(
-        *[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Each row of ``docs`` with the text of ``left`` (k1, k2, text; null for a document that goes); n_chars is its length.
+
+    Rows that repeat an id and a text get the same text, each keeps its own other columns.
+    """
+    rows = docs.select(*_key(), *_numbered_columns(docs, "text")).join(left.where("text IS NOT NULL"), ["k1", "k2"])
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return rows.select(*[new.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (word 5-grams, Jaccard 0.8) the document with the smallest id stays, once."""
+    """Of each component of near copies (word 5-grams, Jaccard 0.8) one document stays: the smallest id, then text hash.
+
+    A document is an id with a text, so another text under the same id is judged by itself.  Of rows that repeat both,
+    the one with the smallest other columns stays; texts without words are no copies of each other.  A null id comes
+    after all others.
+    """
     configure(spark)
-    gone = ngram_join(docs.select("doc_id", "text"), words=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    found = staged(linked(docs.select("doc_id", "text"), words=5, percent=80).select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), F.col("th").alias("k2"), "component"), "linked")
+    last = F.when(F.col("k1") == NO_ID, F.lit(2 ** 63 - 1)).otherwise(F.col("k1"))
+    keepers = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(last.alias("o"), "k2", "k1")).alias("keep"))
+    documents = found.groupBy("k1", "k2").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("times"))
+    judged = documents.join(keepers, "component", "left").select(
+        "k1", "k2", (F.col("times") > 1).alias("again"), F.coalesce((F.col("keep.k1") == F.col("k1")) & (F.col("keep.k2") == F.col("k2")), F.lit(True)).alias("stays"))
+    odd = staged(judged.where("again OR NOT stays"), "copies")
+    release(found)
+    # Texts are only moved for rows that repeat an id and a text and stay.
+    rows = docs.select(*_key(), *_numbered_columns(docs))
+    single = rows.join(odd.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    repeated = (rows.join(odd.where("again AND stays").select("k1", "k2"), ["k1", "k2"])
+                .groupBy("k1", "k2").agg(F.min(F.struct(*columns)).alias("row")).select("k1", "k2", "row.*"))
+    return single.unionByName(repeated).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,6 +114,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        read, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:
+            release(read)
     return docs
