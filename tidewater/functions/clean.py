@@ -16,9 +16,14 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+# The characters with the Unicode property White_Space.
+WHITE_SPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(col) -> Column:
     """Without white space of any kind (tabs, newlines, no-break spaces) at both ends."""
-    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+\z", "")
+    return F.btrim(_c(col), F.lit(WHITE_SPACE))
 
 
 def clean_text(col) -> Column:
@@ -29,7 +34,8 @@ def clean_text(col) -> Column:
 
 def clean_identifier(col) -> Column:
     """trim; strip one trailing ``,0`` or ``.0``; null tokens -> null."""
-    t = F.regexp_replace(strip(col), r"[,.]0\z", "")
+    t = strip(col)
+    t = F.when(t.endswith(",0") | t.endswith(".0"), F.left(t, F.length(t) - 2)).otherwise(t)
     return F.when(~t.isin(*C.NULL_TOKENS), t)
 
 

@@ -76,6 +76,19 @@ def hourly_traffic(spark: SparkSession, events: DataFrame, start, end, areas=Non
     return densify(spark, hourly_counts(inside), start, end, areas)
 
 
+def hourly_traffic_span(events: DataFrame, areas=None) -> DataFrame:
+    """A1 + J1 over the whole span of the data: from the first to the last hour that holds an event.
+
+    The bounds come from the aggregated counters, whose exchange the join reads again.
+    """
+    sparse = hourly_counts(events)
+    bounds = sparse.agg(F.min("timestamp_utc").alias("first"), F.max("timestamp_utc").alias("last"))
+    hours = bounds.select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 HOUR"))).alias("timestamp_utc"))
+    areas = F.array(*[F.lit(a) for a in areas or C.STUDY_AREAS])
+    joined = hours.select(F.explode(areas).alias("study_area"), "timestamp_utc").join(sparse, ["study_area", "timestamp_utc"], "left")
+    return joined.select("study_area", "timestamp_utc", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in C.COUNTER_COLUMNS])
+
+
 def live_hourly_counts(traffic_events: DataFrame) -> DataFrame:
     """A2: counters per UTC hour from live ENTRY / EXIT events.
 

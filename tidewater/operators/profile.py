@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions import clean as CL
 from .quantiles import exact_quantiles
 
 
@@ -23,7 +24,7 @@ def _c(x) -> Column:
 
 def profile_identifier(col) -> Column:
     """Identifier as the profile scripts read it: trim, drop a trailing ``.0``."""
-    t = F.regexp_replace(F.trim(_c(col)), r"\.0$", "")
+    t = F.regexp_replace(CL.strip(col), r"\.0$", "")
     return F.when(~t.isin(*C.NULL_TOKENS), t)
 
 
@@ -145,10 +146,13 @@ def missing_profile(df: DataFrame, columns=None) -> DataFrame:
         F.count("__v").alias("distinct_values"))
 
 
-def area_year_pivot(voyages: DataFrame) -> DataFrame:
-    """Voyage-area rows by area x year, zero filled; the years are those of the data."""
-    named = voyages.select("study_area", F.concat(F.lit("y"), "source_year").alias("__y"))
-    return named.groupBy("study_area").pivot("__y").count().na.fill(0)
+def area_year_counts(voyages: DataFrame) -> DataFrame:
+    """Voyage-area rows by area and year, zero where an area of the data has none in a year of the data."""
+    counts = voyages.groupBy("study_area", "source_year").agg(F.count(F.lit(1)).alias("rows"))
+    # Both lists are bounded by the areas and years; the counts are aggregated once and their exchange is read again.
+    grid = (counts.agg(F.collect_set("study_area").alias("a"), F.collect_set("source_year").alias("y"))
+            .select(F.explode("a").alias("study_area"), "y").select("study_area", F.explode("y").alias("source_year")))
+    return grid.join(counts, ["study_area", "source_year"], "left").select("study_area", "source_year", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 def voyage_summary(voyages: DataFrame) -> DataFrame:

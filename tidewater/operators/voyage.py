@@ -95,38 +95,45 @@ def union_years(frames: list[DataFrame]) -> DataFrame:
 # cleaning
 # ---------------------------------------------------------------------------
 
-def clean_voyages(raw: DataFrame) -> DataFrame:
-    """Typed, cleaned voyage rows (one per raw row)."""
-    year = F.col("source_year")
-    cols: list[Column] = []
-    for c in C.RAW_VOYAGE_COLUMNS:
-        if c in IDENTIFIER_COLUMNS:
-            e = CL.clean_identifier(c)
-            if c == "mmsi_nummer":
-                e = CL.valid_digits(e, 9)
-            elif c == "imo_nummer":
-                e = CL.valid_digits(e, 7)
-        elif c in NUMERIC_COLUMNS:
-            e = CL.clean_numeric(c)
-            if c == "lengde":
-                e = CL.in_range(e, *C.LENGTH_BOUNDS, low_inclusive=False)
-            elif c == "bredde":
-                e = CL.in_range(e, *C.BEAM_BOUNDS, low_inclusive=False)
-            elif c == "dypgaaende":
-                e = CL.in_range(e, *C.DRAUGHT_BOUNDS, low_inclusive=True)
-            elif c == "byggeaar":
-                e = F.when((e >= C.MIN_BUILD_YEAR) & (e <= year), e)
-        elif c in TEXT_COLUMNS:
-            e = CL.clean_text(c)
-        else:
-            e = F.col(c)
-        cols.append(e.alias(c))
+def _cleaned(c: str) -> Column:
+    """The cleaning expression of a voyage column, on the raw row (``byggeaar`` also reads ``source_year``)."""
+    if c in IDENTIFIER_COLUMNS:
+        e = CL.clean_identifier(c)
+        if c == "mmsi_nummer":
+            e = CL.valid_digits(e, 9)
+        elif c == "imo_nummer":
+            e = CL.valid_digits(e, 7)
+    elif c in NUMERIC_COLUMNS:
+        e = CL.clean_numeric(c)
+        if c == "lengde":
+            e = CL.in_range(e, *C.LENGTH_BOUNDS, low_inclusive=False)
+        elif c == "bredde":
+            e = CL.in_range(e, *C.BEAM_BOUNDS, low_inclusive=False)
+        elif c == "dypgaaende":
+            e = CL.in_range(e, *C.DRAUGHT_BOUNDS, low_inclusive=True)
+        elif c == "byggeaar":
+            e = F.when((e >= C.MIN_BUILD_YEAR) & (e <= F.col("source_year")), e)
+    elif c in TEXT_COLUMNS:
+        e = CL.clean_text(c)
+    else:
+        e = F.col(c)
+    return e.alias(c)
+
+
+def _derived() -> dict[str, Column]:
+    """Times and duration, from the raw time texts."""
     dep = CL.parse_time("etd_estimert_avgangstidspunkt")
     arr = CL.parse_time("ankomsttidspunkt")
+    return {"departure_time": dep.alias("departure_time"), "arrival_time": arr.alias("arrival_time"),
+            "voyage_duration_hours": CL.duration_hours(dep, arr).alias("voyage_duration_hours")}
+
+
+def clean_voyages(raw: DataFrame) -> DataFrame:
+    """Typed, cleaned voyage rows (one per raw row)."""
     extra = [c for c in raw.columns if c not in C.RAW_VOYAGE_COLUMNS and c != "source_year"]
-    return raw.select(*cols, dep.alias("departure_time"), arr.alias("arrival_time"),
-                      year.alias("source_year"), CL.duration_hours(dep, arr).alias("voyage_duration_hours"),
-                      *extra)
+    d = _derived()
+    return raw.select(*[_cleaned(c) for c in C.RAW_VOYAGE_COLUMNS], d["departure_time"], d["arrival_time"],
+                      "source_year", d["voyage_duration_hours"], *extra)
 
 
 def primary_period(df: DataFrame, first_year: int = 2024) -> DataFrame:
@@ -184,17 +191,32 @@ EVENT_INPUT_COLUMNS = ["skips_id", "mmsi_nummer", "skipstype", "skipsgruppe", "d
                        "arrival_time", "departure_in_study_area", "arrival_in_study_area"]
 
 
+# What the expansion and the keep-first read: cleaned before, all else only for the rows that stay.
+AREA_COLUMNS = ["kommunenavn_avgang", "kommunenavn_ankomst", "landkode_avgang_totegn", "landkode_ankomst_totegn"]
+FLAG_COLUMNS = ["departure_in_study_area", "arrival_in_study_area"]
+# Raw columns behind derived ones.
+_SOURCES = {"departure_time": ["etd_estimert_avgangstidspunkt"], "arrival_time": ["ankomsttidspunkt"],
+            "voyage_duration_hours": ["etd_estimert_avgangstidspunkt", "ankomsttidspunkt"]}
+
+
 def prepare_voyages(raw: DataFrame, areas=None, columns: list[str] | None = None) -> DataFrame:
-    """S1 output -> clean -> expand -> dedupe (the voyage table).
+    """S1 output -> clean -> expand -> dedupe (the voyage table), as ``dedupe_voyages`` of the cleaned, expanded rows.
 
-    ``columns`` narrows the rows before the keep-first aggregate when a caller
-    needs only some columns (the kept row is the same; less data is shuffled).
+    Only the key and area columns are cleaned before the keep-first aggregate; its exchange spreads the rows that stay,
+    and their other columns are cleaned after it, so rows that are dropped never are.  ``columns`` narrows the rows
+    before the aggregate when a caller needs only some columns (the kept row is the same; less data is shuffled).
     """
-    expanded = expand_study_areas(clean_voyages(raw), areas)
-    if columns is not None:
-        keep = list(dict.fromkeys(KEY_COLUMNS + ORDER_COLUMNS + list(columns)))
-        expanded = expanded.select(*keep)
-    return dedupe_voyages(expanded)
+    extra = [c for c in raw.columns if c not in C.RAW_VOYAGE_COLUMNS and c not in ("source_year", *ORDER_COLUMNS)]
+    out = list(dict.fromkeys(KEY_COLUMNS + ORDER_COLUMNS + list(columns))) if columns is not None else [
+        *C.RAW_VOYAGE_COLUMNS, "departure_time", "arrival_time", "source_year", "voyage_duration_hours", *extra, *ORDER_COLUMNS,
+        "study_area", *FLAG_COLUMNS]
+    early = ["seilas_id", *AREA_COLUMNS]
+    late = list(dict.fromkeys(r for c in out for r in _SOURCES.get(c, [c]) if r in C.RAW_VOYAGE_COLUMNS and r not in early))
+    rows = raw.select(*[_cleaned(c) for c in early], *late, "source_year", *extra, *ORDER_COLUMNS)
+    needed = [c for c in [*early, *extra, *FLAG_COLUMNS] if c in out]
+    kept = dedupe_voyages(expand_study_areas(rows, areas).select(*dict.fromkeys([*KEY_COLUMNS, *ORDER_COLUMNS, *needed, *late])))
+    derived = _derived()
+    return kept.select(*[derived[c] if c in derived else _cleaned(c) if c in late else F.col(c) for c in out])
 
 
 # ---------------------------------------------------------------------------

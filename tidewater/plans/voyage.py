@@ -312,11 +312,19 @@ def voyage_events(spark, sf):
     return events(spark, sf)
 
 
+_COUNTERS = ", ".join(f"CAST(COALESCE(s.{c}, 0) AS BIGINT) AS {c}" for c in C.COUNTER_COLUMNS)
+
+
 @register("voyage_hourly", f"""
-SELECT * FROM ({Q.panel_sql(events_sql(), '2000-01-01 00:00:00', '2001-01-01 00:00:00')}) p""")
+WITH e AS ({events_sql()}), h AS (
+  SELECT unnest(generate_series(min(hour_utc), max(hour_utc), INTERVAL 1 HOUR)) AS timestamp_utc FROM e)
+SELECT a.study_area, h.timestamp_utc, {_COUNTERS}
+FROM h CROSS JOIN {Q.areas_values()} a
+LEFT JOIN ({Q.hourly_counts_sql('SELECT * FROM e', EVENT_SQL_START, EVENT_SQL_END)}) s
+  ON s.study_area = a.study_area AND s.timestamp_utc = h.timestamp_utc""")
 def voyage_hourly(spark, sf):
-    """A1 on voyage events: dense hourly panel for one calendar year."""
-    return H.hourly_traffic(spark, events(spark, sf), "2000-01-01 00:00:00", "2001-01-01 00:00:00")
+    """A1 on voyage events: dense hourly panel from the first to the last hour of the data."""
+    return H.hourly_traffic_span(events(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -432,10 +440,13 @@ def missing_profile(spark, sf):
 
 
 @register("area_year_pivot", f"""
-SELECT * FROM (PIVOT (SELECT study_area, 'y' || source_year AS y FROM ({VOYAGES}) v) ON y USING count(*) GROUP BY study_area)""")
+WITH c AS (SELECT study_area, source_year, COUNT(*) AS rows FROM ({VOYAGES}) v GROUP BY ALL)
+SELECT a.study_area, y.source_year, COALESCE(c.rows, 0) AS rows
+FROM (SELECT DISTINCT study_area FROM c) a CROSS JOIN (SELECT DISTINCT source_year FROM c) y
+LEFT JOIN c ON c.study_area = a.study_area AND c.source_year = y.source_year""")
 def area_year_pivot(spark, sf):
-    """Voyage-area rows by area x year, zero filled."""
-    return PR.area_year_pivot(voyages(spark, sf, []))
+    """Voyage-area rows by area x year as long rows, zero filled."""
+    return PR.area_year_counts(voyages(spark, sf, []))
 
 
 @register("voyage_summary", f"""
