@@ -14,6 +14,7 @@ from ..operators import ingest as I
 from ..operators import live as L
 from ..operators import serve as V
 from ..sources import adapters as A
+from ..streaming import geofence as GS
 from . import sqlparts as Q
 from .registry import register
 
@@ -384,13 +385,28 @@ def event_sink(spark, sf):
 
 
 @register("stream_dedupe", f"""
-SELECT COUNT(*) AS events, COUNT(DISTINCT (mmsi, event_type, "timestamp")) AS distinct_events
-FROM ({_sql_transitions(POS2)}) e""")
+SELECT {EV_COLS} FROM ({_EVENTS2_SQL}) e
+QUALIFY row_number() OVER (PARTITION BY mmsi, event_type, "timestamp" ORDER BY "offset") = 1""")
 def stream_dedupe(spark, sf):
-    """X5 batch form: a redelivered message adds no second event."""
-    ev = L.event_insert(L.geofence_transitions(A.ais_positions(spark, sf, redeliver=True)))
-    return ev.agg(F.count(F.lit(1)).alias("events"),
-                  F.countDistinct("mmsi", "event_type", "timestamp").alias("distinct_events"))
+    """The stateful operator over redelivered positions; its own state keeps every event to one row."""
+    GS.use_rocksdb(spark)
+    return _plain_times(GS.geofence_stream(A.ais_positions(spark, sf, redeliver=True)))
+
+
+def _plain_times(events):
+    return events.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@register("geofence_stream", f"""
+SELECT {EV_COLS} FROM ({EVENTS_SQL}) e WHERE "offset" >= (SELECT (max("offset") + 1) // 2 FROM ({POS}) p)
+QUALIFY row_number() OVER (PARTITION BY mmsi, event_type, "timestamp" ORDER BY "offset") = 1""")
+def geofence_stream(spark, sf):
+    """X2 on batch input: the first half of the arrivals comes in as saved state, the second as rows."""
+    GS.use_rocksdb(spark)
+    p = positions(spark, sf)
+    cut = p.agg(F.floor((F.max("offset") + 1) / 2)).scalar()
+    before, after = p.where(F.col("offset") < cut), p.where(F.col("offset") >= cut)
+    return _plain_times(GS.geofence_stream(after, initial=GS.saved_state(L.final_geofence_state(before))))
 
 
 # ---------------------------------------------------------------------------

@@ -4,8 +4,8 @@ Topology (each arrow is one streaming query with its own checkpoint):
 
     source (Kafka topic / envelope files) --decode+validate--> foreachBatch:
         rejects (P2), history (S8), latest-state log (S9), search log (S11)
-    source --decode--> groupBy(mmsi).transformWithStateInPandas (X2)
-        --foreachBatch--> event table (S12), repeated keys removed against the table (X5)
+    source --decode--> groupBy(mmsi).transformWithStateInPandas (X2), repeated events removed in its state (X5)
+        --foreachBatch--> event table (S12)
     event table (file stream) --foreachBatch--> hourly increments (X3), merged on read
 
 No stage has an event-time watermark: a vessel whose clock is ahead cuts off no other vessel's events.
@@ -13,11 +13,11 @@ No stage has an event-time watermark: a vessel whose clock is ahead cuts off no
 Counters are derived from the de-duplicated event table, so a redelivered
 message cannot count twice and counters never drift from events.
 
-Every sink is idempotent under micro-batch retry (executor loss): history and
-events append only rows whose key is not stored yet (anti-join against only the
-date partitions the batch touches — a partition filter on its few dates); logs
-are written under ``batch_id=<n>`` with overwrite, and readers resolve "last
-write wins" / "newest wins" with ``max_by`` at read time.
+Every sink is idempotent under micro-batch retry (executor loss): history appends only rows whose key is not stored
+yet (anti-join against only the date partitions the batch touches — a partition filter on its few dates); events are
+written once for each batch; logs are written under ``batch_id=<n>`` with overwrite, and readers resolve "last write
+wins" / "newest wins" with ``max_by`` at read time.  The latest-state and search logs are folded into a snapshot every
+``every`` batches (``CompactedLog``), so a read touches one snapshot and fewer than that many logs.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from ..functions.timefeat import floor_hour
 from ..operators import hourly as H
 from ..operators import ingest as I
 from ..operators import live as L
-from .geofence import EVENT_SCHEMA, geofence_stream
+from .geofence import EVENT_SCHEMA, geofence_stream, use_rocksdb
 
 ENVELOPE_SCHEMA = T.StructType([T.StructField("offset", T.LongType()),
                                 T.StructField("value", T.StringType())])
@@ -116,15 +116,81 @@ def write_log(df: DataFrame, path: str, batch_id: int) -> None:
       .parquet(f"{path}/batch_id={batch_id}")
 
 
+class CompactedLog:
+    """A log of micro-batches with a snapshot every ``every`` batches.
+
+    ``log/batch_id=<n>`` holds a batch, ``snapshot/upto=<n>`` the rows that ``pick`` keeps of everything up to batch n.
+    A folder counts once Spark's own marker (``_SUCCESS``) is in it, which is written last: a job that dies while a
+    snapshot is written leaves the one before and its logs in force.  What a snapshot replaces is deleted one snapshot
+    later, so that readers which have listed it can end.
+    """
+
+    def __init__(self, path: str, pick, every: int = 32):
+        self.path, self.pick, self.every = path.rstrip("/"), pick, every
+
+    def _done(self, spark: SparkSession, kind: str) -> list[int]:
+        """Numbers of the complete folders, ascending: at most a few snapshots and twice ``every`` logs."""
+        jvm = spark.sparkContext._jvm
+        top = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f.getPath() for f in fs.listStatus(top)] if fs.exists(top) else []
+        return sorted(int(p.getName().split("=")[1]) for p in found
+                      if "=" in p.getName() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _delete(self, spark: SparkSession, folder: str) -> None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def folders(self, spark: SparkSession, upto: int | None = None) -> list[str]:
+        """The newest snapshot and the logs after it."""
+        snapshots = [n for n in self._done(spark, "snapshot") if upto is None or n <= upto]
+        since = snapshots[-1] if snapshots else -1
+        logs = [n for n in self._done(spark, "log") if n > since and (upto is None or n <= upto)]
+        return [f"{self.path}/snapshot/upto={n}" for n in snapshots[-1:]] + [f"{self.path}/log/batch_id={n}" for n in logs]
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        """Append a batch (again, if it is tried again) and write a snapshot when it is due."""
+        spark = rows.sparkSession
+        snapshots = self._done(spark, "snapshot")
+        if snapshots and batch_id <= snapshots[-1]:
+            return      # tried again after its snapshot
+        rows.write.mode("overwrite").parquet(f"{self.path}/log/batch_id={batch_id}")
+        if (batch_id + 1) % self.every == 0:
+            self.compact(spark, batch_id)
+
+    def compact(self, spark: SparkSession, upto: int) -> None:
+        before = self._done(spark, "snapshot")
+        self.pick(spark.read.parquet(*self.folders(spark, upto))).write.mode("overwrite").parquet(f"{self.path}/snapshot/upto={upto}")
+        if before:
+            for n in before[:-1]:
+                self._delete(spark, f"{self.path}/snapshot/upto={n}")
+            for n in self._done(spark, "log"):
+                if n <= before[-1]:
+                    self._delete(spark, f"{self.path}/log/batch_id={n}")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self.pick(spark.read.parquet(*self.folders(spark)))
+
+
 # ---------------------------------------------------------------------------
 # Position sinks
 # ---------------------------------------------------------------------------
 
+def latest_log(base: str, every: int = 32) -> CompactedLog:
+    """Newest row per mmsi (ties: first arrival); a snapshot is as large as the fleet."""
+    return CompactedLog(f"{base.rstrip('/')}/latest", L.latest_per_vessel, every)
+
+
+def search_log(base: str, every: int = 256) -> CompactedLog:
+    """Per (mmsi, time) the last write; a snapshot holds all documents, so it is written more rarely."""
+    return CompactedLog(f"{base.rstrip('/')}/search", lambda log: L._pick(log, ["mmsi", "timestamp"], F.col("offset")), every)
+
+
 class PositionSinks:
     """foreachBatch writer for rejects (P2), history (S8), latest log (S9), search log."""
 
-    def __init__(self, base: str):
-        self.base = base.rstrip("/")
+    def __init__(self, base: str, every: int = 32):
+        self.base, self.every = base.rstrip("/"), every
 
     def __call__(self, decoded: DataFrame, batch_id: int) -> None:
         spark = decoded.sparkSession
@@ -132,22 +198,19 @@ class PositionSinks:
         write_log(decoded.filter(F.col("reject_reason").isNotNull()), f"{self.base}/rejects", batch_id)
         good = decoded.filter(F.col("reject_reason").isNull()).drop("reject_reason")
         append_new_keys(spark, L.history_rows(good), f"{self.base}/history", ["mmsi", "timestamp"])
-        write_log(L.latest_per_vessel(good), f"{self.base}/latest_log", batch_id)
-        write_log(L.search_documents(good.withColumn("imo", F.lit(None).cast("string"))),
-                  f"{self.base}/search_log", batch_id)
+        latest_log(self.base, self.every).write(L.latest_per_vessel(good), batch_id)
+        search_log(self.base, 8 * self.every).write(L.search_documents(good.withColumn("imo", F.lit(None).cast("string"))), batch_id)
         decoded.unpersist()
 
 
 def current_vessels(spark: SparkSession, base: str) -> DataFrame:
-    """S9 read side: newest row per mmsi over the latest-state log (ties: first arrival)."""
-    log = spark.read.parquet(f"{base.rstrip('/')}/latest_log").drop("batch_id")
-    return L.latest_per_vessel(log)
+    """S9 read side: newest row per mmsi."""
+    return latest_log(base).read(spark)
 
 
 def search_index(spark: SparkSession, base: str) -> DataFrame:
     """S11 read side: per document id the last write (highest offset) wins."""
-    log = spark.read.parquet(f"{base.rstrip('/')}/search_log").drop("batch_id")
-    return L._pick(log, ["mmsi", "timestamp"], F.col("offset"))
+    return search_log(base).read(spark)
 
 
 def start_position_sinks(raw: DataFrame, base: str, checkpoint: str, trigger: dict | None = None):
@@ -161,28 +224,31 @@ def start_position_sinks(raw: DataFrame, base: str, checkpoint: str, trigger: di
 # ---------------------------------------------------------------------------
 
 class EventSink:
-    """foreachBatch writer for S12: one event per (mmsi, event_type, timestamp)."""
+    """foreachBatch writer for S12: the events of a batch, once; nothing stored is read.
+
+    The operator's state already holds one event per (mmsi, event_type, timestamp).  A batch that is tried again finds
+    its folder complete and writes nothing, so readers of the table (X3) see no file twice.
+    """
 
     def __init__(self, path: str):
-        self.path = path
+        self.path = path.rstrip("/")
 
     def __call__(self, events: DataFrame, batch_id: int) -> None:
-        ev = events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-        append_new_keys(events.sparkSession, L.event_insert(ev), self.path,
-                        ["mmsi", "event_type", "timestamp"])
+        folder = f"{self.path}/batch_id={batch_id}"
+        if not _exists(events.sparkSession, f"{folder}/_SUCCESS"):
+            _with_date(events).write.mode("overwrite").partitionBy("date").parquet(folder)
 
 
-def event_stream(raw: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Transitions as they happen.  No event-time watermark: one vessel whose clock runs ahead must not
-    cut off the others; ``EventSink`` removes repeated keys against the stored table."""
-    return geofence_stream(I.normalize_positions(raw), ttl_ms)
+def event_stream(raw: DataFrame, ttl_ms: int | None = None, initial: DataFrame | None = None, seen_ttl_ms: int | None = None) -> DataFrame:
+    """Transitions as they happen, each once.  No event-time watermark: one vessel whose clock runs ahead must not
+    cut off the others.  ``initial``: saved state (``geofence.saved_state``) for vessels that the stream has not seen."""
+    return geofence_stream(I.normalize_positions(raw), ttl_ms, initial, seen_ttl_ms)
 
 
-def start_event_sink(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    spark = raw.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    w = (event_stream(raw).writeStream.foreachBatch(EventSink(path))
+def start_event_sink(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, ttl_ms: int | None = None,
+                     initial: DataFrame | None = None, seen_ttl_ms: int | None = None):
+    use_rocksdb(raw.sparkSession)
+    w = (event_stream(raw, ttl_ms, initial, seen_ttl_ms).writeStream.foreachBatch(EventSink(path))
          .option("checkpointLocation", checkpoint))
     return w.trigger(**(trigger or {"processingTime": f"{C.INGEST_MAX_WAIT_MS} milliseconds"})).start()
 
