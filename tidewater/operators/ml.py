@@ -8,12 +8,14 @@ the cached model table.  Metrics reuse the aggregate forms of ``metrics.py``
 
 from __future__ import annotations
 
+import math
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from . import features as FT
 from . import metrics as MT
+from .boosting import SoftmaxBoosting
 from .profile import with_class_weights
 
 LABEL = "traffic_level_numeric"
@@ -112,8 +115,7 @@ def build_estimator(c: Candidate, label: str = LABEL, seed: int = 42):
     if c.family == "forest":
         return RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed, **p)
     if c.family == "boosted":
-        return OneVsRest(classifier=GBTClassifier(featuresCol="features", seed=seed, **p),
-                         featuresCol="features", labelCol=label)
+        return SoftmaxBoosting(featuresCol="features", labelCol=label, seed=seed, **p)
     if c.family == "gbt_regressor":
         return GBTRegressor(featuresCol="features", labelCol=C.TARGET_COLUMN, seed=seed, **p)
     if c.family == "forest_regressor":
@@ -127,22 +129,56 @@ def baseline_candidates(trees: int = 300) -> list[Candidate]:
         Candidate("LogisticRegression", "logistic", {"maxIter": 200}, scale=True, weighted=True),
         Candidate("DecisionTree", "tree", {"maxDepth": 16, "minInstancesPerNode": 10}),
         Candidate("RandomForest", "forest", {"numTrees": trees, "maxDepth": 16}),
-        Candidate("BoostedTrees", "boosted", {"maxIter": 50, "maxDepth": 6, "stepSize": 0.1}),
+        Candidate("BoostedTrees", "boosted", {"maxIter": max(1, trees // 6), "maxDepth": 6, "stepSize": 0.1}),
     ]
 
 
-def tuning_candidates(scale: int = 1) -> list[Candidate]:
-    """M3: a grid over three families (sizes multiplied by ``scale``)."""
-    out = []
-    for i, (it, depth, rate) in enumerate([(20, 4, 0.1), (40, 6, 0.05), (40, 8, 0.04)]):
-        out.append(Candidate(f"GBT_{i:02d}", "boosted",
-                             {"maxIter": it * scale, "maxDepth": depth, "stepSize": rate}))
-    for i, (n, depth, sub) in enumerate([(50, 10, "sqrt"), (100, 14, "onethird"), (100, 16, "0.5")]):
-        out.append(Candidate(f"RF_{i:02d}", "forest",
-                             {"numTrees": n * scale, "maxDepth": depth, "featureSubsetStrategy": sub}))
-    for i, depth in enumerate([8, 12, 16]):
-        out.append(Candidate(f"DT_{i:02d}", "tree", {"maxDepth": depth, "minInstancesPerNode": 10}))
-    return out
+# Candidate settings.  Boosted: rounds, rate, depth, least rows of a node, share of rows.
+BOOSTED_GLOBAL = [(300, 0.03, 5, 1, 0.9), (400, 0.03, 7, 1, 0.9), (500, 0.03, 7, 3, 0.9), (350, 0.05, 5, 3, 0.9),
+                  (450, 0.05, 7, 3, 0.9), (350, 0.05, 9, 3, 0.9), (300, 0.07, 6, 3, 0.85), (400, 0.04, 8, 5, 0.9)]
+BOOSTED_LOCAL = [(300, 0.03, 5, 1, 0.9), (400, 0.03, 7, 1, 0.9), (500, 0.03, 7, 3, 0.9), (350, 0.05, 7, 3, 0.9),
+                 (400, 0.04, 8, 5, 0.9), (350, 0.05, 9, 3, 0.9), (300, 0.07, 6, 3, 0.85)]
+BOOSTED_COUNTS = [(300, 0.03, 5, 1, 0.9), (400, 0.03, 7, 1, 0.9), (500, 0.03, 7, 3, 0.9), (350, 0.05, 7, 3, 0.9),
+                  (400, 0.04, 8, 5, 0.9), (350, 0.05, 9, 3, 0.9)]
+# Histogram-boosted: rate, rounds, leaves, least rows of a leaf.
+HISTOGRAM_GLOBAL = [(0.05, 250, 31, 20), (0.05, 350, 31, 20), (0.05, 350, 63, 20), (0.08, 250, 31, 20),
+                    (0.08, 300, 63, 20), (0.04, 400, 63, 30), (0.06, 300, 47, 30), (0.04, 450, 31, 40)]
+# Forest: trees, depth (None: no limit), least rows of a leaf, features of a node.
+FOREST_GLOBAL = [(400, None, 1, "sqrt"), (400, None, 2, "sqrt"), (500, 24, 2, "sqrt"), (500, 32, 2, "sqrt"), (500, None, 4, "sqrt"),
+                 (400, None, 2, "0.5")]
+DEEPEST = 30            # MLlib's limit
+
+
+def _some(n: int, share: float) -> int:
+    return max(1, round(n * share))
+
+
+def _boosted(prefix: str, settings: list[tuple], share: float, family: str = "boosted") -> list[Candidate]:
+    return [Candidate(f"{prefix}_{i:02d}", family, {"maxIter": _some(n, share), "stepSize": rate, "maxDepth": depth,
+                                                    "minInstancesPerNode": least, "subsamplingRate": rows})
+            for i, (n, rate, depth, least, rows) in enumerate(settings, 1)]
+
+
+def tuning_candidates(share: float = 1.0) -> list[Candidate]:
+    """M3: all 22 candidates of three families; ``share`` of their rounds and trees.
+
+    Boosted trees with a depth, boosted trees with a number of leaves (as the depth that holds them), forests.
+    """
+    leaves = [(n, rate, math.ceil(math.log2(held)), least, 1.0) for rate, n, held, least in HISTOGRAM_GLOBAL]
+    forests = [Candidate(f"RF_{i:02d}", "forest", {"numTrees": _some(n, share), "maxDepth": min(depth or DEEPEST, DEEPEST),
+                                                   "minInstancesPerNode": least, "featureSubsetStrategy": features})
+               for i, (n, depth, least, features) in enumerate(FOREST_GLOBAL, 1)]
+    return _boosted("GBT", BOOSTED_GLOBAL, share) + _boosted("HGB", leaves, share) + forests
+
+
+def local_candidates(share: float = 1.0) -> list[Candidate]:
+    """M4: the 7 candidates of a local model."""
+    return _boosted("LOCAL", BOOSTED_LOCAL, share)
+
+
+def regressor_candidates(share: float = 1.0) -> list[Candidate]:
+    """M5: the 6 candidates of count regression."""
+    return _boosted("REG", BOOSTED_COUNTS, share, "gbt_regressor")
 
 
 def majority_class(train: DataFrame, label: str = LABEL):
@@ -175,27 +211,40 @@ def evaluate_classifier(model: PipelineModel, data: DataFrame) -> DataFrame:
 
 
 def train_and_validate(train: DataFrame, valid: DataFrame, candidates: list[Candidate],
-                       drop_centroids: bool = False) -> tuple[DataFrame, dict]:
+                       drop_centroids: bool = False, parallelism: int = 8) -> tuple[DataFrame, dict]:
     """M2 / M3: fit each candidate on train, score validation; one metrics row each.
 
-    Returns (metrics DataFrame, fitted models by name).  The loop is over a
-    short candidate list; each fit is a distributed MLlib job on the cached
-    train set.
+    Returns (metrics DataFrame, fitted models by name).  Features are assembled once (and once more scaled, if a
+    candidate asks for it) into narrow cached tables that all candidates read; ``parallelism`` candidates are fitted at
+    a time, so that small stages of one fill the cluster beside those of another.
     """
     spark = train.sparkSession
-    train, valid = train.cache(), valid.cache()
-    rows, models = [], {}
-    maj = majority_class(train)
-    dummy = MT.class_metrics(valid.select(F.col(LABEL).cast("int").alias("actual"),
-                                          maj.cast("int").alias("predicted"))).first()
-    rows.append(("Dummy", "majority", dummy["accuracy"], dummy["macro_f1"], dummy["weighted_f1"], 0.0))
-    for c in candidates:
-        model, secs = fit_candidate(c, train, drop_centroids)
-        m = MT.class_metrics(evaluate_classifier(model, valid)).first()
-        rows.append((c.name, c.family, m["accuracy"], m["macro_f1"], m["weighted_f1"], round(secs, 3)))
-        models[c.name] = model
-    train.unpersist()
-    valid.unpersist()
+    held = train.persist()
+    maj = majority_class(held)
+    dummy = MT.class_metrics(valid.select(F.col(LABEL).cast("int").alias("actual"), maj.cast("int").alias("predicted"))).first()
+    rows, models = [("Dummy", "majority", dummy["accuracy"], dummy["macro_f1"], dummy["weighted_f1"], 0.0)], {}
+    ready = {}
+    for scale in sorted({c.scale for c in candidates}):
+        f = Pipeline(stages=feature_stages(scale=scale, drop_centroids=drop_centroids)).fit(held)
+        ready[scale] = (f, f.transform(with_class_weights(held)).select("features", LABEL, "weight").persist(),
+                        f.transform(valid).select("features", LABEL, "study_area").persist())
+
+    def one(c: Candidate) -> tuple[tuple, PipelineModel]:
+        f, data, check = ready[c.scale]
+        t0 = time.time()
+        model = build_estimator(c).fit(data)
+        secs = time.time() - t0
+        m = MT.class_metrics(evaluate_classifier(model, check)).first()
+        return (c.name, c.family, m["accuracy"], m["macro_f1"], m["weighted_f1"], round(secs, 3)), PipelineModel(stages=f.stages + [model])
+
+    with ThreadPoolExecutor(max(1, min(parallelism, len(candidates)))) as pool:
+        for c, (row, model) in zip(candidates, pool.map(inheritable_thread_target(spark)(one), candidates)):
+            rows.append(row)
+            models[c.name] = model
+    for _, data, check in ready.values():
+        data.unpersist()
+        check.unpersist()
+    held.unpersist()
     df = spark.createDataFrame(rows, "model string, family string, accuracy double, macro_f1 double, "
                                      "weighted_f1 double, train_seconds double")
     return df, models
@@ -225,15 +274,16 @@ def train_local_models(train: DataFrame, valid: DataFrame, candidates: list[Cand
 
 
 def train_regressors(train: DataFrame, test: DataFrame, thresholds: DataFrame,
-                     candidates: list[Candidate]) -> DataFrame:
+                     candidates: list[Candidate], parallelism: int = 4) -> DataFrame:
     """M5: count regression; metrics on the clipped prediction and on its class."""
     spark = train.sparkSession
-    train = train.persist()
-    rows = []
-    for c in candidates:
-        pipe = Pipeline(stages=feature_stages() + [build_estimator(c)])
+    f = Pipeline(stages=feature_stages()).fit(train)
+    train = f.transform(train).select("features", C.TARGET_COLUMN).persist()
+    test = f.transform(test).select("features", C.TARGET_COLUMN, LABEL, "study_area").persist()
+
+    def one(c: Candidate) -> tuple:
         t0 = time.time()
-        model = pipe.fit(train)
+        model = build_estimator(c).fit(train)
         secs = time.time() - t0
         s = model.transform(test).withColumn("clipped", F.greatest(F.lit(0.0), F.col("prediction")))
         reg = MT.regression_metrics(s, C.TARGET_COLUMN, "clipped").first()
@@ -241,8 +291,12 @@ def train_regressors(train: DataFrame, test: DataFrame, thresholds: DataFrame,
         cls = s.select(F.col(LABEL).cast("int").alias("actual"),
                        FT.regression_to_class(F.col("clipped"), F.col("high_threshold")).alias("predicted"))
         m = MT.class_metrics(cls).first()
-        rows.append((c.name, reg["mae"], reg["rmse"], reg["r2"], m["macro_f1"], round(secs, 3)))
+        return c.name, reg["mae"], reg["rmse"], reg["r2"], m["macro_f1"], round(secs, 3)
+
+    with ThreadPoolExecutor(max(1, min(parallelism, len(candidates)))) as pool:
+        rows = list(pool.map(inheritable_thread_target(spark)(one), candidates))
     train.unpersist()
+    test.unpersist()
     return spark.createDataFrame(rows, "model string, mae double, rmse double, r2 double, macro_f1 double, "
                                        "train_seconds double")
 
@@ -256,13 +310,7 @@ def score_batch(model: PipelineModel, rows: DataFrame, model_name: str,
     """Class, label, confidence (max probability), label -> probability map."""
     keep = keep or ["timestamp_utc", "study_area"]
     s = model.transform(rows)
-    if "probability" in s.columns:
-        probs = vector_to_array("probability")
-    else:  # one boosted model per class: each margin F gives 1 / (1 + exp(-2 F)); the three are scaled to sum 1
-        each = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
-        total = F.aggregate("__e", F.lit(0.0), lambda acc, p: acc + p)
-        s = s.withColumn("__e", each)
-        probs = F.transform("__e", lambda p: p / total)
+    probs = vector_to_array("probability")
     names = F.array(*[F.lit(n) for n in C.CLASS_NAMES])
     # a class that the training rows do not hold has no model: probability 0
     s = s.withColumn("__q", probs)

@@ -1,6 +1,6 @@
 """Registered queries: MLlib training, tuning, scoring (rows-only checks: model fits
-are not SQL).  Candidate sizes here are small so the correctness run stays short;
-the operators take full-size candidate lists as parameters."""
+are not SQL).  The tuning queries fit every candidate of the full lists over all rows, with ``SHARE`` of their rounds
+and trees, so that the correctness run ends; the operators take the whole number by default."""
 
 from __future__ import annotations
 
@@ -18,6 +18,9 @@ SMALL = [ML.Candidate("RandomForest_20", "forest", {"numTrees": 20, "maxDepth":
          ML.Candidate("Boosted_10", "boosted", {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1})]
 
 
+SHARE = 0.005   # of the rounds and trees of the full candidates
+
+
 def _splits(spark, sf):
     rows = model_rows(spark, sf)
     return (rows.filter(F.col("dataset_split") == "train"), rows.filter(F.col("dataset_split") == "validation"),
@@ -51,10 +54,9 @@ def train_baselines(spark, sf):
 
 @register("tune_models")
 def tune_models(spark, sf):
-    """M3: candidates over three families ranked by validation macro F1."""
+    """M3: all 22 candidates of three families, ranked by validation macro F1."""
     train, valid, _ = _splits(spark, sf)
-    cands = [c for c in ML.tuning_candidates() if c.family != "boosted"][:4]
-    ranked, _ = ML.tune(train, valid, cands)
+    ranked, _ = ML.tune(train, valid, ML.tuning_candidates(SHARE))
     return ranked
 
 
@@ -62,7 +64,7 @@ def tune_models(spark, sf):
 def train_local_models(spark, sf):
     """M4: one model per area (centroids dropped), best by validation macro F1."""
     train, valid, _ = _splits(spark, sf)
-    return ML.train_local_models(train, valid, SMALL[:2])
+    return ML.train_local_models(train, valid, ML.local_candidates(SHARE / 2))
 
 
 @register("train_regressor")
@@ -70,9 +72,7 @@ def train_regressor(spark, sf):
     """M5: count regressors; MAE / RMSE / R2 and macro F1 of the derived class."""
     train, _, test = _splits(spark, sf)
     thr = FT.area_thresholds(complete_rows(spark, sf))
-    cands = [ML.Candidate("GBTRegressor_10", "gbt_regressor", {"maxIter": 10, "maxDepth": 5}),
-             ML.Candidate("ForestRegressor_20", "forest_regressor", {"numTrees": 20, "maxDepth": 8})]
-    return ML.train_regressors(train, test, thr, cands)
+    return ML.train_regressors(train, test, thr, ML.regressor_candidates(SHARE))
 
 
 @register("score_batch")
