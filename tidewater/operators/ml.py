@@ -219,7 +219,7 @@ def train_and_validate(train: DataFrame, valid: DataFrame, candidates: list[Cand
     a time, so that small stages of one fill the cluster beside those of another.
     """
     spark = train.sparkSession
-    held = train.persist()
+    held, valid = train.persist(), valid.persist()
     maj = majority_class(held)
     dummy = MT.class_metrics(valid.select(F.col(LABEL).cast("int").alias("actual"), maj.cast("int").alias("predicted"))).first()
     rows, models = [("Dummy", "majority", dummy["accuracy"], dummy["macro_f1"], dummy["weighted_f1"], 0.0)], {}
@@ -245,6 +245,7 @@ def train_and_validate(train: DataFrame, valid: DataFrame, candidates: list[Cand
         data.unpersist()
         check.unpersist()
     held.unpersist()
+    valid.unpersist()
     df = spark.createDataFrame(rows, "model string, family string, accuracy double, macro_f1 double, "
                                      "weighted_f1 double, train_seconds double")
     return df, models
@@ -263,6 +264,7 @@ def train_local_models(train: DataFrame, valid: DataFrame, candidates: list[Cand
     """M4: one model per area (few areas, many rows each), centroids dropped."""
     spark = train.sparkSession
     areas = areas or sorted(C.STUDY_AREAS)
+    train, valid = train.persist(), valid.persist()     # every area reads its part of them
     out = []
     for a in areas:
         tr = train.filter(F.col("study_area") == a)
@@ -270,6 +272,8 @@ def train_local_models(train: DataFrame, valid: DataFrame, candidates: list[Cand
         res, _ = train_and_validate(tr, va, candidates, drop_centroids=True)
         best = res.orderBy(F.desc("macro_f1"), "model").first()
         out.append((a, best["model"], best["macro_f1"], best["accuracy"]))
+    train.unpersist()
+    valid.unpersist()
     return spark.createDataFrame(out, "study_area string, best_model string, macro_f1 double, accuracy double")
 
 
