@@ -270,7 +270,7 @@ def train_local_models(train: DataFrame, valid: DataFrame, candidates: list[Cand
         tr = train.filter(F.col("study_area") == a)
         va = valid.filter(F.col("study_area") == a)
         res, _ = train_and_validate(tr, va, candidates, drop_centroids=True)
-        best = res.orderBy(F.desc("macro_f1"), "model").first()
+        best = res.filter(F.col("family") != "majority").orderBy(F.desc("macro_f1"), "model").first()
         out.append((a, best["model"], best["macro_f1"], best["accuracy"]))
     train.unpersist()
     valid.unpersist()
