@@ -123,7 +123,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def profiles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, k, th, n, sig (signature of the set), needed, prefix (its smallest hashes) of ``keyed`` rows."""
+    """doc_id, k, th, n, sig (signature of the set; s1, s2: its halves), needed, prefix (its smallest hashes) of ``keyed`` rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 1024):
@@ -133,10 +133,12 @@ def profiles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
                     n = len(g)
                     rows.append((n, _signature(g), _needed(n, percent), g[:n - least_common(n, percent) + _spare(n, percent)]))
                 n, sig, needed, prefix = zip(*rows)
+                halves = np.frombuffer(b"".join(sig), dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:3], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(needed, pa.int64()),
-                     pa.array(list(prefix), pa.list_(pa.int64()))], ["doc_id", "k", "th", "n", "sig", "needed", "prefix"])
-    return docs.mapInArrow(run, "doc_id long, k long, th long, n long, sig binary, needed long, prefix array<long>")
+                    [*b.columns[:3], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
+                     pa.array(needed, pa.int64()), pa.array(list(prefix), pa.list_(pa.int64()))],
+                    ["doc_id", "k", "th", "n", "sig", "s1", "s2", "needed", "prefix"])
+    return docs.mapInArrow(run, "doc_id long, k long, th long, n long, sig binary, s1 long, s2 long, needed long, prefix array<long>")
 
 
 def _signature(g: np.ndarray) -> bytes:
@@ -258,16 +260,18 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     source = keyed(docs)
     held = staged(profiles(source, words, percent), "profiles")
     full = held.where("n > 0")
-    # A signature's n-grams are one set, whichever row they come from.
-    alone = staged(full.select("sig", F.explode("prefix").alias("g")).groupBy("g")
-                   .agg(F.min("sig").alias("sig"), F.max("sig").alias("other")).where("sig = other")
-                   .groupBy("sig").agg(F.count(F.lit(1)).alias("alone")), "alone")
+    # A signature's n-grams are one set, whichever row they come from.  Least and greatest of both halves as numbers:
+    # Spark aggregates them by hash, a binary signature it would sort.
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max)]
+    alone = staged(full.select("s1", "s2", F.explode("prefix").alias("g")).groupBy("g").agg(*ends)
+                   .where("min_s1 = max_s1 AND min_s2 = max_s2")
+                   .groupBy(F.col("min_s1").alias("s1"), F.col("min_s2").alias("s2")).agg(F.count(F.lit(1)).alias("alone")), "alone")
     seen = staged(held.drop("prefix"), "seen")
     release(held)
     classes = (seen.where("n > 0").groupBy("sig")
-               .agg(F.min(F.struct("k", "th")).alias("key"), F.min("doc_id").alias("least_id"), F.min("n").alias("n"), F.min("needed").alias("needed")))
+               .agg(F.min(F.struct("k", "th")).alias("key"), F.min("doc_id").alias("least_id"), *[F.min(c).alias(c) for c in ("n", "needed", "s1", "s2")]))
     length = F.col("n") - least_common(F.col("n"), percent) + F.greatest(F.lit(1), F.floor(F.col("n") * (100 - percent) / F.lit(100.0)))
-    able = (classes.join(alone, "sig", "left").where(length - F.coalesce("alone", F.lit(0)) >= F.col("needed"))
+    able = (classes.join(alone, ["s1", "s2"], "left").where(length - F.coalesce("alone", F.lit(0)) >= F.col("needed"))
             .select(F.col("sig").alias("rep"), "key.k", "key.th"))
     sets = staged(_sets(source.select("k", "th", "text").join(able, ["k", "th"]), words).dropDuplicates(["rep"]), "sets")
     found = components(links(sets, percent))
