@@ -195,6 +195,39 @@ def regression_to_class(pred: Column, high_threshold: Column) -> Column:
              .otherwise(F.lit(1)))
 
 
+# ---------------------------------------------------------------------------
+# Sequences (train-only scaling)
+# ---------------------------------------------------------------------------
+
+def scale_features(df: DataFrame, stats: DataFrame, features: list[str], out: str = "scaled") -> DataFrame:
+    """``out``: array<float> of (x - mean) / std in the order of ``features``; a std of 0 counts as 1.
+
+    ``stats`` is M14's long form (position, feature, mean, std), one row a feature; it enters as one scalar
+    subquery, so no row of ``df`` moves.  A null value, or no train rows to take statistics from, gives null there.
+    """
+    one = stats.agg(F.array_sort(F.collect_list(F.struct("position", "mean", "std"))).alias("s")).scalar()
+
+    def scaled(i: int, c: str) -> Column:
+        mean, std = F.get(F.col("__stats"), F.lit(i))["mean"], F.get(F.col("__stats"), F.lit(i))["std"]
+        return ((F.col(c).cast("double") - mean) / F.when(std == 0, F.lit(1.0)).otherwise(std)).cast("float")
+
+    return (df.withColumn("__stats", one)
+              .withColumn(out, F.array(*[scaled(i, c) for i, c in enumerate(features)])).drop("__stats"))
+
+
+def sequence_windows(df: DataFrame, label: str, length: int = C.SEQUENCE_LENGTH, features: str = "scaled") -> DataFrame:
+    """For each labelled hour t, the ``length`` consecutive hours ending at t as array<array<float>> ``sequence``.
+
+    ``df`` holds one row an area and hour.  Hours without a label end no window but take part in later ones; so do
+    hours whose other features are incomplete.  A window that a missing hour interrupts is left out: its oldest
+    row must lie exactly ``length`` - 1 hours before t.
+    """
+    w = panel_window().rowsBetween(-(length - 1), 0)
+    held = df.select("*", F.collect_list(features).over(w).alias("sequence"), F.min("timestamp_utc").over(w).alias("__oldest"))
+    whole = F.col("__oldest") == F.col("timestamp_utc") - F.expr(f"INTERVAL {length - 1} HOURS")
+    return held.where((F.size("sequence") == length) & whole & F.col(label).isNotNull()).drop("__oldest")
+
+
 # ---------------------------------------------------------------------------
 # Whole model table
 # ---------------------------------------------------------------------------

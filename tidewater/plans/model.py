@@ -272,34 +272,49 @@ SEQ_FEATURES = ["total_events", "arrivals", "departures", "unique_vessels", "pas
                 "is_weekend"]
 
 
+# All hours, also those that P27 drops for missing lags: the sequences hold only features that every hour has.
+STATS_SQL = "SELECT " + ", ".join(
+    f"round(avg(CAST({c} AS DOUBLE)), 9) + 0.0::DOUBLE AS mean_{c}, round(stddev_pop(CAST({c} AS DOUBLE)), 9) + 0.0::DOUBLE AS std_{c}"
+    for c in SEQ_FEATURES) + f" FROM ({SPLIT_SQL}) s WHERE dataset_split = 'train'"
+SCALED_SQL = f"""
+SELECT r.study_area, r.timestamp_utc, r.dataset_split,
+  CAST({_sql_num(_sql_level(f'r.{TARGET}', 't.high_threshold'))} AS INTEGER) AS label,
+  {', '.join(f'CAST(CAST((CAST(r.{c} AS DOUBLE) - m.mean_{c}) / CASE WHEN m.std_{c} = 0 THEN 1.0::DOUBLE ELSE m.std_{c} END AS FLOAT) AS DOUBLE) AS {c}'
+             for c in SEQ_FEATURES)}
+FROM ({SPLIT_SQL}) r LEFT JOIN ({THR_SQL}) t ON r.study_area = t.study_area CROSS JOIN ({STATS_SQL}) m"""
+
+
 @register("sequence_windows", f"""
-SELECT * FROM (
-  SELECT study_area, timestamp_utc, dataset_split, traffic_level_numeric AS label,
-    COUNT(*) OVER s AS seq_len,
-    CAST(SUM(total_events) OVER s AS BIGINT) AS seq_total_events,
-    CAST(SUM(is_weekend) OVER s AS BIGINT) AS seq_weekend_hours
-  FROM ({LABELLED_SQL}) l
+SELECT study_area, area_index, timestamp_utc, dataset_split, label, seq_len,
+  {', '.join(f'round(sum_{c}, 6) + 0.0::DOUBLE AS sum_{c}, first_{c}, last_{c}' for c in SEQ_FEATURES)}
+FROM (
+  SELECT study_area, timestamp_utc, dataset_split, label, COUNT(*) OVER s AS seq_len, MIN(timestamp_utc) OVER s AS oldest,
+    CAST(dense_rank() OVER (ORDER BY study_area) - 1 AS INTEGER) AS area_index,
+    {', '.join(f'SUM({c}) OVER s AS sum_{c}, FIRST_VALUE({c}) OVER s AS first_{c}, {c} AS last_{c}' for c in SEQ_FEATURES)}
+  FROM ({SCALED_SQL}) l
   WINDOW s AS (PARTITION BY study_area ORDER BY timestamp_utc ROWS BETWEEN {C.SEQUENCE_LENGTH - 1} PRECEDING AND CURRENT ROW)
-) x WHERE seq_len = {C.SEQUENCE_LENGTH} AND label IS NOT NULL""")
+) x WHERE seq_len = {C.SEQUENCE_LENGTH} AND oldest = timestamp_utc - INTERVAL {C.SEQUENCE_LENGTH - 1} HOUR AND label IS NOT NULL""")
 def sequence_windows(spark, sf):
-    """48 consecutive hourly rows x 17 features ending at t, labelled by t + 1.
+    """48 consecutive hours x 17 scaled features ending at t, labelled by t + 1.
 
-    Rows are the labelled model rows (so hours dropped as incomplete break
-    nothing: the window counts rows, as the reference does).  Checked here by
-    length and two column sums of the built 48 x 17 arrays.
+    Built from every hour of the panel, scaled by M14's statistics; the windows of a split may begin in the one
+    before.  Returned per window: its length, and per feature the sum over the window, its oldest and newest value.
     """
-    rows = model_rows(spark, sf)
-    w = FT.panel_window().rowsBetween(-(C.SEQUENCE_LENGTH - 1), 0)
-    seq = F.collect_list(F.array(*[F.col(c).cast("float") for c in SEQ_FEATURES])).over(w)
-    s = rows.select("study_area", "timestamp_utc", "dataset_split",
-                    F.col("traffic_level_numeric").alias("label"), seq.alias("sequence"))
-    s = s.filter((F.size("sequence") == C.SEQUENCE_LENGTH) & F.col("label").isNotNull())
-    tot = F.aggregate("sequence", F.lit(0.0).cast("double"), lambda acc, r: acc + r[0].cast("double"))
-    wk = F.aggregate("sequence", F.lit(0.0).cast("double"), lambda acc, r: acc + r[16].cast("double"))
-    return s.select("study_area", "timestamp_utc", "dataset_split", "label",
-                    F.size("sequence").cast("bigint").alias("seq_len"),
-                    tot.cast("bigint").alias("seq_total_events"),
-                    wk.cast("bigint").alias("seq_weekend_hours"))
+    hours = split_rows(spark, sf)
+    rows = FT.scale_features(hours, MT.scaler_stats(hours, SEQ_FEATURES), SEQ_FEATURES)
+    rows = FT.classify_by_area(rows, FT.area_thresholds(complete_rows(spark, sf)))
+    s = FT.sequence_windows(rows.select("study_area", "timestamp_utc", "dataset_split", "scaled",
+                                        F.col("traffic_level_numeric").alias("label")), "label")
+    zeros = F.array(*[F.lit(0.0)] * len(SEQ_FEATURES))
+    s = s.withColumn("sums", F.aggregate("sequence", zeros, lambda acc, r: F.zip_with(acc, r, lambda a, x: a + x.cast("double"))))
+    areas = sorted(C.STUDY_AREAS)
+    index = F.array_position(F.array(*[F.lit(a) for a in areas]), F.col("study_area")) - 1
+    columns = []
+    for i, c in enumerate(SEQ_FEATURES):
+        columns += [(F.round(F.col("sums")[i], 6) + F.lit(0.0)).alias(f"sum_{c}"), F.col("sequence")[0][i].cast("double").alias(f"first_{c}"),
+                    F.element_at("sequence", -1)[i].cast("double").alias(f"last_{c}")]
+    return s.select("study_area", index.cast("int").alias("area_index"), "timestamp_utc", "dataset_split", "label",
+                    F.size("sequence").cast("bigint").alias("seq_len"), *columns)
 
 
 # ---------------------------------------------------------------------------
@@ -412,11 +427,11 @@ def area_slug(spark, sf):
 
 @register("scaler_stats", " UNION ALL ".join(
     f"SELECT {i} AS position, '{c}' AS feature, round(avg(CAST({c} AS DOUBLE)), 9) + 0.0::DOUBLE AS mean, "
-    f"round(stddev_pop(CAST({c} AS DOUBLE)), 9) + 0.0::DOUBLE AS std FROM ({LABELLED_SQL}) l WHERE dataset_split = 'train'"
+    f"round(stddev_pop(CAST({c} AS DOUBLE)), 9) + 0.0::DOUBLE AS std FROM ({SPLIT_SQL}) l WHERE dataset_split = 'train'"
     for i, c in enumerate(SEQ_FEATURES)))
 def scaler_stats(spark, sf):
-    """Train-only mean and population std of the 17 sequence features."""
-    return MT.scaler_stats(model_rows(spark, sf), SEQ_FEATURES)
+    """Mean and population std of the 17 sequence features over all train hours."""
+    return MT.scaler_stats(split_rows(spark, sf), SEQ_FEATURES)
 
 
 @register("lookup_join", f"""
