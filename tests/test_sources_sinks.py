@@ -78,3 +78,44 @@ def test_voyage_files_by_name_and_delimiter(spark, scratch):
         assert [r[c] for c in cols] == [f"v_{c}" for c in cols]
     with pytest.raises(ValueError):
         VY.scan_voyage_files(spark, {1996: bad})
+
+
+ORDER_KEYS = ["area", "at", "id"]
+
+
+def _unsorted(spark):
+    rows = [(None if i % 11 == 0 else f"a{i * 7 % 3}", None if i % 13 == 0 else i * 37 % 50, i // 2) for i in range(400)]
+    rows += [("a1", 5, 1)] * 200                          # one key holds a third of all rows
+    return rows, spark.createDataFrame(rows, "area string, at int, id int")
+
+
+def _nulls_last(r):
+    return [(x is None, 0 if x is None else x) for x in r]
+
+
+def test_sorted_files_follow_one_another(spark, scratch):
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from tidewater.operators.sinks import write_sorted
+    rows, df = _unsorted(spark)
+    write_sorted(df, f"{scratch}/sorted", [F.asc_nulls_last(c) for c in ORDER_KEYS], files=6)
+    files = sorted(glob.glob(f"{scratch}/sorted/part-*"))
+    got = [tuple(r[c] for c in ORDER_KEYS) for f in files for r in pq.read_table(f).to_pylist()]
+    assert len(files) > 2
+    assert got == sorted(rows, key=_nulls_last)
+
+
+def test_position_is_the_place_in_the_whole_order(spark):
+    from pyspark.sql import functions as F
+
+    from tidewater.operators.sinks import with_position
+    rows, df = _unsorted(spark)
+    got = with_position(df, [F.col("area"), F.floor(F.col("at") / 10)], [F.asc_nulls_last("at"), F.asc_nulls_last("id")])
+    assert got.columns == [*ORDER_KEYS, "position"]
+    want = sorted(rows, key=_nulls_last)
+    assert [tuple(r)[:3] for r in sorted(got.collect(), key=lambda r: r["position"])] == want
+    assert sorted(r["position"] for r in got.collect()) == list(range(1, len(rows) + 1))
+    assert with_position(df.limit(0), [F.col("area")], [F.asc_nulls_last("id")]).collect() == []

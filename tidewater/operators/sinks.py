@@ -9,7 +9,9 @@ per-area / per-split / per-class aggregates, bounded by those small domains.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -41,6 +43,35 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
         w.format(fmt).save(path)
 
 
+def write_sorted(df: DataFrame, path: str, order: list[Column], files: int | None = None, fmt: str = "parquet",
+                 mode: str = "overwrite") -> None:
+    """Files that follow one another: in name order, their rows are in ``order`` from the first to the last.
+
+    Rows are dealt by range over sampled bounds, so no task sorts more than its part; ``files`` fixes the number of
+    parts.  Rows equal in ``order`` stay in one file.
+    """
+    spread = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+    out = spread.sortWithinPartitions(*order).write.mode(mode)
+    (out.option("header", "true").csv(path) if fmt == "csv" else out.format(fmt).save(path))
+
+
+def with_position(df: DataFrame, groups: list[Column], within: list[Column], out: str = "position") -> DataFrame:
+    """``out``: a row's place (from 1) in the order of ``groups``, then ``within``; nulls last, rows equal in both in any order.
+
+    ``groups`` are coarse leading keys (an area, a year, a day).  Their counts, one row a group, give how many rows
+    come before a group; rows are only sorted inside their group, never all in one task.  Needs no written table and
+    gives a retried task the same places again.
+    """
+    names = [f"__g{i}" for i in range(len(groups))]
+    keyed = df.withColumns(dict(zip(names, groups)))
+    before = Window.orderBy(*[F.asc_nulls_last(n) for n in names]).rowsBetween(Window.unboundedPreceding, -1)
+    counts = (keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+              .select(*[F.col(n).alias(f"{n}k") for n in names], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
+    place = keyed.withColumn("__place", F.row_number().over(Window.partitionBy(*names).orderBy(*within)))
+    same = functools.reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}k")) for n in names])
+    return place.join(counts, same).select(*df.columns, (F.col("__before") + F.col("__place")).cast("bigint").alias(out))
+
+
 def metadata_frame(model_table: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Thresholds, feature lists, split ranges, class counts as one nested row."""
     thr = thresholds.agg(F.map_from_entries(F.collect_list(F.struct(

@@ -9,6 +9,7 @@ from ..functions import clean as CL
 from ..operators import hourly as H
 from ..operators import profile as PR
 from ..operators import voyage as VY
+from ..operators.sinks import with_position
 from ..sources import adapters as A
 from . import sqlparts as Q
 from .registry import register
@@ -470,14 +471,18 @@ def voyage_summary(spark, sf):
 
 
 @register("final_sort", f"""
-SELECT study_area, source_year, seilas_id, arrival_time, departure_time FROM ({VOYAGES}) v""")
+SELECT study_area, source_year, seilas_id, arrival_time, departure_time,
+  row_number() OVER (ORDER BY study_area NULLS LAST, source_year NULLS LAST, arrival_time NULLS LAST, departure_time NULLS LAST,
+                     seilas_id NULLS LAST) AS position
+FROM ({VOYAGES}) v""")
 def final_sort(spark, sf):
-    """Voyages ordered by area, year, arrival, departure (nulls last) — a range-
-    partitioned global sort, written with ``sortWithinPartitions`` by S13."""
+    """Voyages by area, year, arrival, departure (nulls last) with their place in that order; S13's
+    ``write_sorted`` writes files in the same order."""
     v = voyages(spark, sf, ["arrival_time", "departure_time"]).select(
         "study_area", "source_year", "seilas_id", "arrival_time", "departure_time")
-    return v.orderBy(F.asc_nulls_last("study_area"), F.asc_nulls_last("source_year"),
-                     F.asc_nulls_last("arrival_time"), F.asc_nulls_last("departure_time"), "seilas_id")
+    # A group is one arrival day of an area.
+    return with_position(v, [F.col("study_area"), F.col("source_year"), F.to_date("arrival_time")],
+                         [F.asc_nulls_last(c) for c in ("arrival_time", "departure_time", "seilas_id")])
 
 
 def _county_sides_sql() -> str:
