@@ -1,10 +1,11 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewater.llm.pii import KINDS, base_spans, candidates, covered, find_pii, redact
+from tidewater.llm.pii import KINDS, _add, _harder, base_spans, candidates, covered, features, find_pii, labelled, redact
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -81,3 +82,53 @@ def test_no_labels_and_empty(spark):
     assert [r["spans"] for r in find_pii(df).collect()] == ["", ""]
     assert find_pii(df.limit(0)).collect() == []
     assert covered([(0, 1, 5), (1, 3, 9), (2, 20, 21)]) == 9
+
+
+def one_by_one(base, scored):
+    taken, out = [x for spans in base.values() for x in spans], []
+    for _, a, b, k in sorted(scored, key=lambda x: (-x[0], x[1], -x[2], x[3])):
+        if all(b <= x or y <= a for x, y in taken):
+            taken.append((a, b))
+            out.append((k, a, b))
+    return out
+
+
+spans = st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)).map(lambda x: (x[0], x[0] + x[1])), max_size=8)
+
+
+@settings(max_examples=300, deadline=None)
+@given(spans, spans, st.lists(st.tuples(st.integers(0, 5), spans.filter(len), st.integers(0, 3)), max_size=12))
+def test_added_spans_equal_comparing_one_by_one(emails, cards, more):
+    base = {"email": emails, "ip": [], "card": cards, "phone": []}
+    scored = [(float(s), *own[0], k) for s, own, k in more]
+    assert _add(base, scored) == one_by_one(base, scored)
+
+
+def test_labels_equal_comparing_with_every_span():
+    """Whether a candidate beside a companion is true does not depend on how the companion's spans are looked up."""
+    text = "a@b.co 4111111111111111 1.2.3.4 +1 (988) 555-2485 x@y.zz 4111111111111111 a@b.co 10.20.30.40 " * 3
+    base = base_spans(text)
+    true = {(a, b, k) for k, kind in enumerate(KINDS) for a, b in base[kind]}
+    want = [(features(text, a, b, k), int((a, b, k) in true)) for a, b, k in candidates(text)]
+    for a, b, kind in sorted(true):
+        s = text[a:b]
+        others = [text[x:y] for x, y, _ in true if (x, y) != (a, b)] + [str(len(text)), "2024-01-31", "12 7 1999"]
+        for k in range(a, a + 4):
+            t, good = _harder(kind, s, k, others[k % len(others)])
+            truth = {(x, y, kind) for x, y in good}
+            truth |= {(t.find(text[x:y]), t.find(text[x:y]) + y - x, q) for x, y, q in true if text[x:y] in t}
+            want += [(features(t, x, y, q), int((x, y, q) in truth)) for x, y, q in candidates(t)]
+        for t in [f"no {s[:-1]}{(int(s[-1]) + 1 + a % 8) % 10} x"] * (kind == 2) + [f"v {s.rsplit('.', 1)[0]}.{300 + a % 600} x"] * (kind == 1):
+            want += [(features(t, x, y, q), 0) for x, y, q in candidates(t)]
+    assert labelled(text) == want
+
+
+def test_a_megabyte_of_addresses_and_numbers(spark):
+    line = "bob.{0}@mail{1}.example.com 4111 1111 1111 1111 7{0:06d} +1 (269) 555-{1:04d} 10.0.{2}.9 "
+    text = "".join(line.format(i, i % 9999, i % 250) for i in range(13_000))
+    assert len(text) > 1_000_000
+    df = spark.createDataFrame([(*r,) for r in rows_for_training()] + [(5000, text)], "doc_id long, text string")
+    start = time.time()
+    got = find_pii(df).where("doc_id = 5000").collect()[0]
+    assert time.time() - start < 120
+    assert got["n_email"] == 13_000 and len(got["spans"]) > 13_000 * 4

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,9 +150,8 @@ def features(text: str, a: int, b: int, kind: int) -> list[float]:
             tail.isalpha() and 2 <= len(tail) <= 8, "at" in s and "@" not in s and kind == 0]
 
 
-def _harder(kind: int, s: str, k: int, others: list[str]) -> tuple[str, list[tuple[int, int]]]:
-    """A context for a true span, chosen by ``k``: the text and the true spans of ``kind`` in it."""
-    o = others[k % len(others)]
+def _harder(kind: int, s: str, k: int, o: str) -> tuple[str, list[tuple[int, int]]]:
+    """A context for a true span, chosen by ``k``, with ``o`` beside it: the text and the true spans of ``kind`` in it."""
     if kind == 0:
         t = s.replace("@", [" (at) ", " [at] ", " at ", "(at)"][k % 4], 1)
         t = t.replace(".", [".", " dot ", "[dot]"][k % 3]) if k % 3 else t
@@ -180,14 +179,35 @@ def labelled(text: str) -> list[tuple[list[float], int]]:
 
     true = {(a, b, k) for k, kind in enumerate(KINDS) for a, b in base[kind]}
     of(text, true)
+    every = [(x, y) for x, y, _ in true]
+    at: dict[tuple[int, int], list[int]] = {}
+    kinds: dict[str, set[int]] = {}
+    for i, (x, y, q) in enumerate(true):
+        at.setdefault((x, y), []).append(i)
+        kinds.setdefault(text[x:y], set()).add(q)
+    lengths = sorted({len(s) for s in kinds})
+    plain = [str(len(text)), "2024-01-31", "12 7 1999"]
+
+    def companion(span: tuple[int, int], k: int) -> str:
+        """Another true span of the document, or one of the plain values."""
+        own = at[span]
+        n = len(every) - len(own)
+        i = k % (n + len(plain))
+        if i >= n:
+            return plain[i - n]
+        for p in own:
+            i += i >= p
+        x, y = every[i]
+        return text[x:y]
+
     for a, b, kind in sorted(true):
         s = text[a:b]
-        spans = [text[x:y] for x, y, _ in true if (x, y) != (a, b)] + [str(len(text)), "2024-01-31", "12 7 1999"]
         for k in range(4):
-            t, good = _harder(kind, s, a + k, spans)
+            t, good = _harder(kind, s, a + k, companion((a, b), a + k))
             # What the companion holds is true as well; digits changed by one are false cards and addresses.
             truth = {(x, y, kind) for x, y in good}
-            truth |= {(t.find(text[x:y]), t.find(text[x:y]) + y - x, q) for x, y, q in true if text[x:y] in t}
+            held = {w for n in lengths for i in range(len(t) - n + 1) if (w := t[i:i + n]) in kinds}
+            truth |= {(t.find(w), t.find(w) + len(w), q) for w in held for q in kinds[w]}
             of(t, truth)
         if kind == 2:
             of(f"no {s[:-1]}{(int(s[-1]) + 1 + a % 8) % 10} x", set())
@@ -196,13 +216,24 @@ def labelled(text: str) -> list[tuple[list[float], int]]:
     return rows
 
 
+def _mask(spans: Iterable[tuple[int, int]], length: int) -> bytearray:
+    """A byte for each character, 1 under a span: one look tells whether a candidate touches any of many spans."""
+    mask = bytearray(length)
+    for a, b in spans:
+        mask[a:b] = b"\1" * (b - a)
+    return mask
+
+
 def _add(base: dict[str, list[tuple[int, int]]], scored: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
     """Greedy choice, best score first, of spans that touch no base span and no chosen one."""
-    taken = sorted(x for spans in base.values() for x in spans)
+    if not scored:
+        return []
+    spans = [x for own in base.values() for x in own]
+    taken = _mask(spans, max(b for _, b in [*spans, *((a, b) for _, a, b, _ in scored)]))
     out = []
     for _, a, b, k in sorted(scored, key=lambda x: (-x[0], x[1], -x[2], x[3])):
-        if not any(x < b and a < y for x, y in taken):
-            taken.append((a, b))
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\1" * (b - a)
             out.append((k, a, b))
     return out
 
@@ -278,7 +309,9 @@ def find_pii(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
                 base = base_spans(t)
                 docs_.append(base)
                 if m:
-                    own = [c for c in candidates(t) if not any(a < c[1] and c[0] < b for s in base.values() for a, b in s)]
+                    proposed = candidates(t)
+                    mask = _mask((x for s in base.values() for x in s), len(t)) if proposed else b""
+                    own = [c for c in proposed if mask.find(1, c[0], c[1]) < 0]
                     where += [(n, *c) for c in own]
                     found += [features(t, *c) for c in own]
             added: dict[int, list[tuple[float, int, int, int]]] = {}
