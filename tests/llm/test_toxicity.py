@@ -6,8 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewater.llm.toxicity import (DECAY, MAX_SPAN, SYMBOLS, WINDOW, Landmarks, best_windows, held_out, subsequences, symbols,
-                                    toxicity)
+from tidewater.llm.toxicity import (DECAY, MAX_SPAN, SYMBOLS, WINDOW, Landmarks, best_windows, held_out, joined, subsequences,
+                                    symbols, toxicity)
 
 
 def brute(text):
@@ -29,6 +29,33 @@ def test_subsequences_are_the_kernel_features(text):
     assert dict(zip(u.tolist(), np.round(w, 9).tolist())) == {k: round(v, 9) for k, v in brute(text).items()}
 
 
+def joined_one_by_one(text):
+    """Each character is looked at by itself: which letters stand alone, which gaps lie beside a gap of the same kind."""
+    x = symbols(text).tolist()
+    letter = [False] + [s > 0 and s != 27 for s in x] + [False] * 6
+    alone = [i for i in range(len(x)) if letter[i + 1] and not letter[i] and not letter[i + 2]]
+    gap = {i: (j - i, text[i + 1]) for i, j in zip(alone, alone[1:])
+           if j - i <= 4 and not any(letter[k + 1] or text[k] in "0123456789" for k in range(i + 1, j))}
+    gone = {i for i in range(len(x)) if x[i] == 0 and letter[i] and letter[i + 2] and text[i] not in "0123456789"}
+    for i, j in zip(alone, alone[1:]):
+        if i in gap and j in gap and gap[i] == gap[j]:
+            gone |= set(range(i + 1, i + gap[i][0])) | set(range(j + 1, j + gap[j][0]))
+    return "".join(c for i, c in enumerate(text) if i not in gone)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=list("ab\u00e9\U0001f600 .-_*1\n"), max_size=24))
+def test_joined_equals_looking_at_each_character(text):
+    assert joined(text) == joined_one_by_one(text)
+
+
+def test_joined():
+    assert joined("you i d i o t, an i.d.i.o.t. a m-o-r-o-n and l__o__s__e__r") == "you idiot, an idiot. a moron and loser"
+    assert joined("id*iot well-known") == "idiot wellknown"
+    for text in ["", "a b", "he is a good man", "1 2 3 4", "a 1 b 2 c", "3.5 - 4.5"]:
+        assert joined(text) == text
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.text(alphabet=list("idiotlosr -é"), max_size=16), min_size=1, max_size=5))
 def test_nystrom_features_reproduce_the_kernel(texts):
@@ -79,6 +106,7 @@ def test_held_out_accuracy_and_gapped_insults(spark):
     rows, labels = corpus(1500, 3)
     clean = rows[next(i for i, t in labels if t == 0)][1]
     extra = [(9000, None), (9001, ""), (9002, clean + " you i-d-i-o-t and l.o.s.e.r and m o r o n"), (9003, clean), (9003, clean)]
+    extra += [(9100 + k, f"{clean} an {s.join('idiot')} then {clean}") for k, s in enumerate(" .-_")]
     docs = spark.createDataFrame([(*r, "c") for r in rows + extra], "doc_id long, text string, score string")
     got = toxicity(docs, spark.createDataFrame(labels + labels[:5], "doc_id long, toxic int"), toxic_docs=400, clean_docs=800).collect()
     assert len(got) == len(rows + extra) and all(0 <= r["score"] <= 1 for r in got)
@@ -89,6 +117,7 @@ def test_held_out_accuracy_and_gapped_insults(spark):
     assert len(right) > 200 and sum(right) / len(right) > 0.97
     assert by[9003]["predicted"] == by[9001]["predicted"] == by[9000]["predicted"] == 0
     assert by[9002]["score"] > 5 * by[9003]["score"]      # the same text with insults spelt with gaps
+    assert all(by[9100 + k]["predicted"] == 1 for k in range(4))     # one insult, with each kind of separator
     assert by[9000]["score"] == by[9001]["score"]
 
 

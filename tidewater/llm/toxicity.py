@@ -2,7 +2,8 @@
 
 Kernel: two strings are compared by their common 4-symbol subsequences with gaps (letters, and one symbol for a
 word boundary); an occurrence that spans n characters weighs DECAY ** n, up to MAX_SPAN, so an insult with inserted
-or spaced-out characters still matches.
+characters still matches.  Characters decide how much their gap weighs: separators between letters that stand alone
+and a mark inside a word (``joined``) do not count, so a spaced-out or dotted insult weighs as much as a plain one.
 Landmarks are words: those that speak most for the toxic label, and words chosen by hash.  A sentence enters
 training as the window of WINDOW characters that speaks most for its label; its Nystrom features are the kernel
 values with the landmarks times K ** -1/2, and MLlib's linear support vector machine is fitted on them, twice: the
@@ -10,7 +11,8 @@ second time with the windows that the first model finds worst in clean documents
 
 The decision function is linear in the subsequence weights, so the landmarks fold into one table of fixed size
 over all subsequences.  A document's margin is the largest window sum anywhere in its whole text, found by array
-arithmetic where the document is read; a logistic curve over the training documents turns it into the score.
+arithmetic where the document is read; a logistic curve over the training documents, some of the clean ones once
+more with a single planted insult, turns it into the score.
 
 Training reads a bounded, hash-ordered sample of labelled rows (``toxic_docs``, ``clean_docs``); labels, lang,
 source and doc_id are no inputs of a score.
@@ -22,6 +24,7 @@ largest label holds; repeated documents give repeated results; an empty table gi
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,7 +38,8 @@ from .common import staged
 
 TOXIC_DOCS, CLEAN_DOCS = 3000, 6000
 CLEAN_SENTENCES = 6              # of a clean training document, about, chosen by hash
-GAPPED_WEIGHT = 0.3              # of a toxic training document spelt with gaps, when the score is calibrated
+GAPPED_WEIGHT = 0.6              # of a toxic training document spelt with gaps, when the score is calibrated
+PLANTED_WEIGHT = 0.2             # of clean training documents with one planted insult, against all toxic ones
 LANDMARKS = 240
 DECAY, MAX_SPAN, WINDOW = 0.75, 7, 12
 SYMBOLS = 40                     # 0 matches nothing, 1-26 a-z, 27 word boundary, the rest shared by other letters
@@ -69,6 +73,39 @@ def symbols(text: str) -> np.ndarray:
     return _TABLE[code]
 
 
+def joined(text: str) -> str:
+    """The text without the characters whose gap weighs nothing: separators between letters that all stand alone, and
+    a mark between two letters of a word (``i d i o t``, ``i.d.i.o.t`` and ``id*iot`` give ``idiot``).
+
+    Letters stand alone in a run of three or more with the same separator, one to three characters and no digits.
+    """
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    kind = _TABLE[code] if not len(code) or code.max() < len(_TABLE) else symbols(text)
+    if len(kind) != len(code):
+        kind = symbols("".join(c if len(c.lower()) == 1 else "?" for c in text))
+    letter = np.zeros(len(code) + 6, dtype=bool)         # with room on both sides
+    letter[1:-5] = (kind > 0) & (kind != 27)
+    here, left, right = letter[1:-5], letter[:-6], letter[2:-4]
+    digit = (code >= 48) & (code <= 57)
+    drop = (kind == 0) & left & right & ~digit
+    alone = np.nonzero(here & ~left & ~right)[0]
+    if len(alone) > 2:
+        step = np.diff(alone)
+        near = step <= 4
+        other = letter.copy()
+        other[1:-5] |= digit
+        for g in (1, 2, 3):                              # nothing but a separator between
+            near &= (step <= g) | ~other[alone[:-1] + g + 1]
+        sign = code[alone[:-1] + 1]
+        like = near[1:] & near[:-1] & (step[1:] == step[:-1]) & (sign[1:] == sign[:-1])
+        spread = np.zeros(len(near), dtype=bool)
+        spread[1:] |= like
+        spread[:-1] |= like
+        for g in (1, 2, 3):
+            drop[alone[:-1][spread & (step > g)] + g] = True
+    return code[~drop].tobytes().decode("utf-32-le", "surrogatepass") if drop.any() else text
+
+
 def subsequences(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The subsequences of a short text and their kernel weights."""
     x = symbols(text)
@@ -226,7 +263,7 @@ def _word_evidence(sample: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     def words(texts, toxic):
         rows = []
         for t, y in zip(texts, toxic):
-            own = set(_TOKEN.findall(t.lower()))
+            own = set(_TOKEN.findall(joined(t).lower()))
             sig = _signature(own)
             rows += [(w, int(y), sig) for w in own]
         return rows
@@ -235,7 +272,15 @@ def _word_evidence(sample: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
                         [pa.string(), pa.int32(), pa.int64()])
                .distinct().groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")))
     odds = F.log(((F.col("p") + 0.5) / (n_toxic + 1)) / ((F.col("n") + 0.5) / (n_clean + 1)))
-    return counted.withColumn("odds", odds).withColumn("gain", F.col("p") * odds)
+    share = n_toxic / (n_toxic + n_clean)
+    both = F.col("p") + F.col("n")
+
+    def part(seen: str, expected: float) -> Column:
+        return F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) / (both * expected))).otherwise(0.0)
+
+    # Log-likelihood gain of the word's own toxic share over the share of all documents.
+    sure = F.when(F.col("p") > both * share, part("p", share) + part("n", 1 - share)).otherwise(0.0)
+    return counted.withColumn("odds", odds).withColumn("gain", F.col("p") * odds).withColumn("sure", sure)
 
 
 def _gapped(word: str, k: int) -> str:
@@ -248,12 +293,20 @@ def _spelt_with_gaps(text: str, gains: dict[str, float]) -> str:
     return _TOKEN.sub(lambda m: _gapped(m[0], 1 + zlib.crc32(f"{m.start()}".encode()) % 7) if m[0] in gains else m[0], text.lower())
 
 
+def _with_one(text: str, words: list[str], sums: np.ndarray) -> str:
+    """The text with one of the words, drawn by its share of ``sums`` and spelt in one of several ways, at a place of its own."""
+    h = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    word = words[int(np.searchsorted(sums, sums[-1] * (h % 1009) / 1009, side="right"))]
+    at = max(text.find(" ", h % (len(text) + 1)), 0)
+    return f"{text[:at]} {_gapped(word, h // 1009)}{text[at:] if at else ' ' + text}"
+
+
 def _windows_of_sentences(gains: dict[str, float]):
     """Sentences as windows: around the strongest word of toxic ones, around hash-chosen words of clean ones."""
     def rows(texts, toxic):
         out = []
         for t, y in zip(texts, toxic):
-            low = t.lower()
+            low = joined(t).lower()
             sentences = sum(1 for _ in _SENTENCE.finditer(low))
             for n, s in enumerate(f" {m[0]} " for m in _SENTENCE.finditer(low)):
                 found = [(m.start(), m[0]) for m in _TOKEN.finditer(s)]
@@ -265,12 +318,12 @@ def _windows_of_sentences(gains: dict[str, float]):
                         continue        # nothing in this sentence of a toxic document speaks for its label
                     k = zlib.crc32(f"{n} {w}".encode())
                     out.append((s[max(at - 2, 0):at + WINDOW], 1.0))
-                    out.append((f" {_gapped(w, k)[:WINDOW + 4]} ", 1.0))
+                    out.append((f" {joined(_gapped(w, k))[:WINDOW + 4]} ", 1.0))
                 elif zlib.crc32(s.encode()) % max(1, sentences // CLEAN_SENTENCES) == 0:
                     at, w = found[zlib.crc32(s.encode()) % len(found)]
                     out.append((s[max(at - 2, 0):at + WINDOW], 0.0))
                     if n % 8 == 0:
-                        out.append((f" {_gapped(w, n // 8)[:WINDOW + 4]} ", 0.0))
+                        out.append((f" {joined(_gapped(w, n // 8))[:WINDOW + 4]} ", 0.0))
         return out
     return rows
 
@@ -278,6 +331,7 @@ def _windows_of_sentences(gains: dict[str, float]):
 def _worst_windows(table: np.ndarray):
     """The window of each document that the given model finds most toxic."""
     def rows(texts, toxic):
+        texts = [joined(t) for t in texts]
         return [(f" {t.lower()}"[max(e - WINDOW - 3, 0):e], float(y)) for t, y, (s, e, _) in zip(texts, toxic, best_windows(texts, table))
                 if s > 0 and not y]
     return rows
@@ -312,7 +366,7 @@ def _fit(windows: DataFrame, marks: Landmarks) -> tuple[np.ndarray, float]:
 
 def _evidence(texts: list[str], table: np.ndarray, over: float) -> np.ndarray:
     """What the score is made of: the largest window sum, the places above ``over``, the length, and one."""
-    got = best_windows(texts, table, over)
+    got = best_windows([joined(t) for t in texts], table, over)
     return np.array([[m, np.log1p(n), np.log1p(len(t)), 1.0] for (m, _, n), t in zip(got, texts)]).reshape(-1, 4)
 
 
@@ -352,7 +406,13 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     if not n.get(0) or not n.get(1):
         return Model(None, plain=float(bool(n.get(1))))
     gains_df = staged(_word_evidence(sample, n[1], n[0]), "toxic-words")
-    strong = {r["word"]: r["gain"] for r in gains_df.where("p >= 3 AND odds > 1.7").orderBy(F.desc("gain"), "word").limit(4 * landmarks).collect()}
+    # Words that chance would not make in so large a vocabulary; a small corpus can show none, and there the likeliest.
+    found = gains_df.where("p >= 3 AND odds > 1.7")
+    chance = math.log(max(gains_df.count(), 1))
+    for some in (found.where(F.col("sure") > chance), found):
+        strong = {r["word"]: r["gain"] for r in some.orderBy(F.desc("gain"), "word").limit(4 * landmarks).collect()}
+        if strong:
+            break
     plain = [r["word"] for r in gains_df.where("n > 0").orderBy(F.xxhash64("word"), "word").limit(landmarks // 2).collect()]
     if not strong:
         return Model(None, plain=n[1] / (n[0] + n[1]))
@@ -365,13 +425,17 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     coef, _ = _fit(first.unionAll(worst).unionAll(worst), marks)
     final = marks.table(coef)
     held = spark.sparkContext.broadcast(final)
-    peaks = _per_doc(sample.where("toxic = 1"), lambda t, y: [(m,) for m, _, _ in best_windows(t, held.value)],
+    peaks = _per_doc(sample.where("toxic = 1"), lambda t, y: [(m,) for m, _, _ in best_windows([joined(x) for x in t], held.value)],
                      "margin double", ["margin"], [pa.float64()]).collect()          # bounded by the sample
     over = 0.6 * float(np.median([r["margin"] for r in peaks]))
-    # Rows of evidence, bounded by the sample; toxic documents once more with their strongest words spelt with gaps.
+    # Rows of evidence, bounded by the sample; toxic documents once more with their strongest words spelt with gaps,
+    # and every third clean one with a single insult, which must be enough.
+    words, sums = list(strong), np.cumsum(list(strong.values()))
+
     def evidence(texts, toxic):
         spelt = [(_spelt_with_gaps(t, strong), 2) for t, y in zip(texts, toxic) if y]
-        every = [*zip(texts, toxic), *spelt]
+        one = [(_with_one(t, words, sums), 3) for t, y in zip(texts, toxic) if not y and zlib.crc32(t.encode("utf-8", "surrogatepass")) % 3 == 0]
+        every = [*zip(texts, toxic), *spelt, *one]
         return [(e.tolist(), int(y)) for e, (_, y) in zip(_evidence([t for t, _ in every], held.value, over), every)]
 
     rows = _per_doc(sample, evidence, "e array<double>, toxic int", ["e", "toxic"], [pa.list_(pa.float64()), pa.int32()]).collect()
@@ -379,6 +443,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     kind = np.array([r["toxic"] for r in rows])
     y = (kind > 0).astype(float)
     w = np.where(y > 0, totals.get(1, 1) / n[1], totals.get(0, 1) / n[0]) * np.where(kind == 2, GAPPED_WEIGHT, 1.0)
+    w[kind == 3] *= PLANTED_WEIGHT * n[1] / max((kind == 3).sum(), 1)
     return Model(final, over, _logistic(np.array([r["e"] for r in rows]), y, w * len(w) / w.sum()))
 
 
