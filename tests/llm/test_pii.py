@@ -55,6 +55,7 @@ def rows_for_training():
 def test_find_pii_end_to_end(spark):
     train = rows_for_training()
     card, phone = "4111111111111111", "+1 (269) 555-3296"
+    assert brute("x" * 3_000 + " a@b.co")["email"] == [(3_001, 3_007)]
     extra = [(1000, f"call {phone} {card} now"), (1001, None), (1002, ""), (1003, "clean text, 42 things on 2024-01-31."),
              (1004, "x" * 300_000 + " a@b.co"), (1004, "x" * 300_000 + " a@b.co"), (1005, "write bob.42 (at) mail3.example.com soon")]
     df = spark.createDataFrame([(*r, "c") for r in train + extra], "doc_id long, text string, spans string")
@@ -65,7 +66,8 @@ def test_find_pii_end_to_end(spark):
     for r in got:
         t = texts[r["doc_id"]] or ""
         by[r["doc_id"]] = r
-        b = brute(t)
+        # The plain patterns take a time that grows with the square of such a run; it holds one address, at its end.
+        b = brute(t) if len(t) < 10_000 else {"email": [(300_001, 300_007)], "ip": [], "card": [], "phone": []}
         assert [r[f"n_{k}"] for k in KINDS] == [len(b[k]) for k in KINDS]
         line = ",".join(f"{k}:{a}:{e}" for k in KINDS for a, e in b[k])
         assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
