@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 
@@ -78,3 +79,47 @@ def test_no_rows_and_one_class(spark):
     one = SoftmaxBoosting(maxIter=2).fit(df.where("label = 0"))
     assert {(r["prediction"], tuple(r["probability"])) for r in one.transform(df).collect()} == {(0.0, (1.0,))}
     assert SoftmaxBoosting(maxIter=2).fit(df.where("false")).transform(df.where("false")).collect() == []
+
+
+def test_no_fit_plans_the_lineage_of_its_rows_again(spark, monkeypatch):
+    """A fit takes hundreds of jobs and the driver keeps the plan of each: they read written rows, not what made them."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+    plans, fit = [], DecisionTreeRegressor.fit
+
+    def spy(self, data, *args):
+        plans.append(data._jdf.queryExecution().toString())
+        return fit(self, data, *args)
+
+    monkeypatch.setattr(DecisionTreeRegressor, "fit", spy)
+    rows = spark.range(200).selectExpr("id % 3 AS label", "cast(id % 7 AS double) AS a", "id AS lineage_mark").where("lineage_mark >= 0")
+    data = VectorAssembler(inputCols=["a"], outputCol="features").transform(rows).persist()
+    SoftmaxBoosting(featuresCol="features", labelCol="label", maxIter=12, maxDepth=2).fit(data)
+    data.unpersist()
+    assert len(plans) == 36
+    assert not any("lineage_mark" in p for p in plans)
+    assert max(map(len, plans)) < 4 * min(map(len, plans))
+
+
+def test_candidates_and_splits_are_read_from_written_rows(spark, monkeypatch):
+    from tidewater.operators import ml as ML
+    from tidewater.plans import ml as P
+    seen = []
+
+    def rows(s, sf):
+        return s.range(3).selectExpr("'train' AS dataset_split", "id AS lineage_mark").where("lineage_mark >= 0")
+
+    monkeypatch.setattr(P, "model_rows", rows)
+    for part in P._splits(spark, "unused"):
+        assert "Range" not in part._jdf.queryExecution().toString()
+
+    def weights(df, *args):
+        seen.append(df._jdf.queryExecution().toString())
+        raise StopIteration
+
+    monkeypatch.setattr(ML, "with_class_weights", weights)
+    monkeypatch.setattr(ML, "feature_stages", lambda **kw: [])
+    table = spark.range(30).selectExpr("cast(id % 3 AS int) AS traffic_level_numeric", "'Bergen' AS study_area")
+    with pytest.raises(StopIteration):
+        ML.train_and_validate(table, table, [ML.Candidate("t", "tree")])
+    assert seen and not any("Range" in p for p in seen)
