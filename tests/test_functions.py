@@ -127,3 +127,16 @@ def test_exact_quantiles_ties_and_small_groups(spark):
     exp = {r[0]: tuple(r)[1:] for r in df.where("v IS NOT NULL AND NOT isnan(v)").groupBy("g").agg(*[F.percentile("v", q) for q in qs]).collect()}
     assert {r[0]: tuple(r)[1:] for r in exact_quantiles(df, ["g"], "v", qs, names).collect()} == exp
     assert {r[0]: tuple(r)[1:] for r in exact_quantiles(df, ["g"], "v", qs, names, accuracy=50).collect()} == exp
+
+
+def test_messages_are_parsed_once(spark):
+    """One parse a row, also under the filter on the reason."""
+    from tidewater.operators import ingest as I
+    raw = spark.createDataFrame([('{"mmsi": 257, "msgtime": "2024-01-01T00:00:00Z", "latitude": "62.4", "longitude": 6}', 1), ("[1]", 2), (None, 3)],
+                                "value string, offset long")
+    for df in (I.normalize_positions(raw), I.decode_messages(raw).where("reject_reason IS NULL").select("offset", "timestamp")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1
+        assert [r["offset"] for r in df.collect()] == [1]
+    old = {r["offset"]: r["reject_reason"] for r in I.decode_messages(raw).collect()}
+    assert old[1] is None and old[2] == "decode"

@@ -41,39 +41,36 @@ def decode_messages(raw: DataFrame, value: str = "value") -> DataFrame:
     ``missing_field`` (mmsi / latitude / longitude / msgtime absent),
     ``bad_timestamp`` (time not parsable).  Null reason = good record.
     """
+    # ``inline`` hands on a row's parsed fields as plain columns: later expressions read them, while an expression named
+    # in a select is put into each of its uses again, the whole parse with it, and so is a filter on the reason.
     text = F.trim(F.col(value))
     j = F.from_json(F.col(value), RAW_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt",
                                                 "mode": "PERMISSIVE"})
-    d = raw.withColumn("__j", j)
-    m = F.col("__j")
-    ts = to_utc(m["msgtime"])
-    number = {c: F.trim(m[c]).try_cast("double") for c in DECIMALS + INTEGERS}
+    once = lambda df, struct: df.select(F.col("offset"), text_column, F.inline(F.array(struct)))      # noqa: E731
+    text_column = text.alias("__text")
+    d = once(raw, j)
+    number = {c: F.trim(c).try_cast("double") for c in DECIMALS + INTEGERS}
+    text_column = F.col("__text")
+    d = once(d, F.struct("mmsi", "msgtime", "name", "_corrupt", to_utc(F.col("msgtime")).alias("__ts"),
+                         *[F.col(c) for c in DECIMALS + INTEGERS], *[number[c].alias(f"__{c}") for c in number]))
     unreadable = F.lit(False)
     for c in DECIMALS + INTEGERS:
-        bad = number[c].isNull() if c in DECIMALS else (number[c].isNull() | (number[c] != F.floor(number[c])))
-        unreadable = unreadable | (m[c].isNotNull() & bad)
-    number |= {c: number[c].try_cast("int") for c in INTEGERS}
-    reason = (F.when(text == "", F.lit("blank"))
-               .when(~text.startswith("{") | m["_corrupt"].isNotNull() | unreadable, F.lit("decode"))
-               .when(m["mmsi"].isNull() | m["latitude"].isNull() | m["longitude"].isNull() |
-                     m["msgtime"].isNull(), F.lit("missing_field"))
-               .when(ts.isNull(), F.lit("bad_timestamp")))
-    return d.select(
-        F.when(reason.isNull(), m["mmsi"]).alias("mmsi"),
-        F.when(reason.isNull(), m["name"]).alias("vessel_name"),
-        F.when(reason.isNull(), number["latitude"]).alias("latitude"),
-        F.when(reason.isNull(), number["longitude"]).alias("longitude"),
-        F.when(reason.isNull(), number["speedOverGround"]).alias("sog"),
-        F.when(reason.isNull(), number["courseOverGround"]).alias("cog"),
-        F.when(reason.isNull(), number["trueHeading"]).alias("heading"),
-        F.when(reason.isNull(), number["navigationalStatus"]).alias("nav_status"),
-        F.when(reason.isNull(), number["shipType"]).alias("ship_type"),
-        F.when(reason.isNull(), number["rateOfTurn"]).alias("rate_of_turn"),
-        F.when(reason.isNull(), ts).alias("timestamp"),
-        F.lit(C.DEFAULT_SOURCE).alias("source"),
-        F.col("offset"),
-        reason.alias("reject_reason"),
-    )
+        n = F.col(f"__{c}")
+        bad = n.isNull() if c in DECIMALS else (n.isNull() | (n != F.floor(n)))
+        unreadable = unreadable | (F.col(c).isNotNull() & bad)
+    number = {c: F.col(f"__{c}") for c in number} | {c: F.col(f"__{c}").try_cast("int") for c in INTEGERS}
+    reason = (F.when(F.col("__text") == "", F.lit("blank"))
+               .when(~F.col("__text").startswith("{") | F.col("_corrupt").isNotNull() | unreadable, F.lit("decode"))
+               .when(F.col("mmsi").isNull() | F.col("latitude").isNull() | F.col("longitude").isNull() |
+                     F.col("msgtime").isNull(), F.lit("missing_field"))
+               .when(F.col("__ts").isNull(), F.lit("bad_timestamp")))
+    good = {"mmsi": F.col("mmsi"), "vessel_name": F.col("name"), "latitude": number["latitude"], "longitude": number["longitude"],
+            "sog": number["speedOverGround"], "cog": number["courseOverGround"], "heading": number["trueHeading"],
+            "nav_status": number["navigationalStatus"], "ship_type": number["shipType"], "rate_of_turn": number["rateOfTurn"],
+            "timestamp": F.col("__ts")}
+    d = d.select("offset", F.inline(F.array(F.struct(reason.alias("reject_reason"), *[v.alias(f"__of_{c}") for c, v in good.items()]))))
+    return d.select(*[F.when(F.col("reject_reason").isNull(), F.col(f"__of_{c}")).alias(c) for c in good],
+                    F.lit(C.DEFAULT_SOURCE).alias("source"), "offset", "reject_reason")
 
 
 def normalize_positions(raw: DataFrame, value: str = "value") -> DataFrame:
