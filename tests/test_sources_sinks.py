@@ -119,3 +119,28 @@ def test_position_is_the_place_in_the_whole_order(spark):
     assert [tuple(r)[:3] for r in sorted(got.collect(), key=lambda r: r["position"])] == want
     assert sorted(r["position"] for r in got.collect()) == list(range(1, len(rows) + 1))
     assert with_position(df.limit(0), [F.col("area")], [F.asc_nulls_last("id")]).collect() == []
+
+
+def test_scan_voyages_writes_each_row_once_where_it_is(spark, monkeypatch, tmp_path):
+    """Compressed files without an exchange; rows are read once; a null year is a year of its own."""
+    import tidewater.config as C
+    import tidewater.session as session
+    from tidewater.plans import voyage as V
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    def raw(s, sf):
+        rows = [(y, *[f"{c}{i}; ø" for c in C.RAW_VOYAGE_COLUMNS]) for i, y in enumerate([1996, 1997, 1996, None])]
+        df = s.createDataFrame(rows, "source_year int, " + ", ".join(f"{c} string" for c in C.RAW_VOYAGE_COLUMNS))
+        return df.mapInArrow(counted, df.schema)
+
+    monkeypatch.setattr(V, "raw", raw)
+    monkeypatch.setattr(session, "scratch_table_path", lambda s, name: f"{tmp_path}/{name}")
+    got = sorted(map(tuple, V.scan_voyages(spark, "unused").collect()), key=str)
+    assert read.value == 4
+    assert got == sorted(map(tuple, raw(spark, "unused").collect()), key=str)
+    assert {p.suffix for p in tmp_path.rglob("part-*")} == {".gz"}

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -19,15 +19,16 @@ from .. import config as C
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                 sort_within: list[str] | None = None, fmt: str = "parquet", mode: str = "overwrite",
-                options: dict | None = None, buckets: int = 16) -> None:
+                options: dict | None = None, buckets: int = 16, spread: bool = True) -> None:
     """Write a table; ``fmt='csv'`` writes a header line.
 
     Rows are spread by (partition columns, deterministic hash bucket): one output
     partition that holds a third of all rows is written by ``buckets`` tasks, and
-    a retried task sends every row to the same bucket again.
+    a retried task sends every row to the same bucket again.  Without ``spread``
+    (for few output partitions) each task writes what it holds: more files, no exchange.
     """
     out = df
-    if partition_by:
+    if partition_by and spread:
         bucket = F.pmod(F.xxhash64(*df.columns), F.lit(buckets))
         out = out.repartition(*partition_by, bucket)
     if sort_within:
@@ -43,6 +44,14 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
         w.format(fmt).save(path)
 
 
+def written_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of ``column`` under which a table that is partitioned by it alone was written, without reading a row."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(top)]
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}="))
+
+
 def write_sorted(df: DataFrame, path: str, order: list[Column], files: int | None = None, fmt: str = "parquet",
                  mode: str = "overwrite") -> None:
     """Files that follow one another: in name order, their rows are in ``order`` from the first to the last.
