@@ -127,3 +127,48 @@ def test_chunked_scan_equals_simple_on_fixture_with_hot_vessel(spark):
     simple = sorted(tuple(r) for r in L.geofence_transitions(data, chunk=None).select(*key).collect())
     chunked = sorted(tuple(r) for r in L.geofence_transitions(data, chunk=16).select(*key).collect())
     assert simple == chunked and len(simple) > 0
+
+
+def test_a_vessel_without_saved_events_is_asked_for_none():
+    import pandas as pd
+    from tidewater.streaming.geofence import GeofenceProcessor
+
+    class Value:
+        kept = None
+
+        def get(self):
+            return self.kept
+
+        def update(self, v):
+            self.kept = v
+
+    class Map(dict):
+        asked = 0
+
+        def exists(self):
+            return bool(len(self))
+
+        def containsKey(self, k):
+            self.asked += 1
+            return k in self
+
+        def updateValue(self, k, v):
+            self[k] = v
+
+    class Handle:
+        def getValueState(self, *args):
+            return Value()
+
+        def getMapState(self, *args):
+            return Map()
+
+    g = GeofenceProcessor(ordered=True)
+    g.init(Handle())
+    when = pd.to_datetime(["2024-01-01 00:00", "2024-01-01 00:05", "2024-01-01 00:10", "2024-01-01 00:10", "2024-01-01 00:10", "2024-01-01 00:10"])
+    rows = pd.DataFrame({"mmsi": "257", "timestamp": when, "latitude": [62.4, 62.47, 62.4, 62.47, 62.4, 62.47], "longitude": 6.14,
+                         "vessel_name": None, "ship_type": 70, "sog": 1.0, "source": "s", "offset": range(6)})
+    made = pd.concat(g.handleInputRows("257", iter([rows]), None))
+    assert list(made["event_type"]) == ["ENTRY", "EXIT", "ENTRY"] and g.seen.asked == 0
+    # Delivered again: the saved events are asked for, none is made twice.
+    again = rows.assign(offset=range(6, 12)).iloc[2:]
+    assert not list(g.handleInputRows("257", iter([again]), None)) and g.seen.asked > 0

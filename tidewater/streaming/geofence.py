@@ -80,7 +80,8 @@ class GeofenceProcessor(StatefulProcessor):
         self.state.update((bool(row["inside"]), int(row["last_ts_us"]), float(row["latitude"]), float(row["longitude"])))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = state = self.state.get() if self.state.exists() else None
+        before = state = self.state.get()       # None if there is none
+        self.known, self.made = None, set()
         arrived = None
         for pdf in rows if self.ordered else [pd.concat(list(rows), ignore_index=True)]:
             if arrived is not None and pdf["offset"].min() < arrived:
@@ -92,6 +93,17 @@ class GeofenceProcessor(StatefulProcessor):
         if state is not before:
             self.state.update(state)
 
+    def _first(self, made: tuple) -> bool:
+        """Whether the event is new; keeps it.  Each question to the state is a round trip: a vessel without any saved
+        event is asked for none of them, and what this call has kept is known here."""
+        if self.known is None:
+            self.known = self.seen.exists()
+        if made in self.made or (self.known and self.seen.containsKey(made)):
+            return False
+        self.made.add(made)
+        self.seen.updateValue(made, (True,))
+        return True
+
     def piece(self, pdf: pd.DataFrame, state: tuple | None) -> tuple[tuple | None, pd.DataFrame | None]:
         """The state after some rows of a vessel, and the events that they make."""
         pdf = pdf.dropna(subset=["latitude", "longitude", "timestamp"])
@@ -111,8 +123,7 @@ class GeofenceProcessor(StatefulProcessor):
         new = []
         for i in np.flatnonzero(codes):
             made = ("ENTRY" if codes[i] == 1 else "EXIT", int(ts_us[i]))
-            if not self.seen.containsKey(made):
-                self.seen.updateValue(made, (True,))
+            if self._first(made):
                 new.append((i, made[0]))
         if not new:
             return state, None
