@@ -1,11 +1,13 @@
 import hashlib
 import re
 import time
+from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewater.llm.pii import KINDS, _add, _harder, base_spans, candidates, covered, features, find_pii, labelled, redact
+from tidewater.llm.pii import KINDS, _add, _harder, base_spans, candidates, covered, cuts, features, find_pii, labelled, labels, redact
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -86,6 +88,36 @@ def test_no_labels_and_empty(spark):
     assert covered([(0, 1, 5), (1, 3, 9), (2, 20, 21)]) == 9
 
 
+def test_all_documents_train(spark):
+    """Personal data in none of the first 8,000 documents by hash (once a sample that the trees were fitted on)."""
+    from pyspark.sql import functions as F
+
+    ids = [r[0] for r in spark.range(8_400).orderBy(F.xxhash64("id"), "id").collect()]
+    train = dict(zip(ids[8_000:], (text for _, text in rows_for_training())))
+    docs = [(i, train.get(i, "clean words")) for i in ids]
+    df = spark.createDataFrame([*docs, (8_001_000, "call +1 (269) 555-3296 4111111111111111 now")], "doc_id long, text string")
+    last = find_pii(df).where("doc_id = 8001000").first()
+    assert redact("call +1 (269) 555-3296 4111111111111111 now", last["spans"]) == "call <phone> <card> now"
+
+
+def test_labels_count_every_document_and_cuts_equal_sorting(spark):
+    docs = [(i if i % 7 else None, text) for i, text in rows_for_training()[:200]] * 2
+    got = labels(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = Counter((i is not None and i % 5 == 0, float(y), tuple(map(int, x))) for i, t in docs for x, y in labelled(t))
+    assert {(r["held"], r["label"], tuple(r["x"])): r["n"] for r in got} == want
+    # A stump: margins of the digits' number, so that many candidates share one.
+    stump = {"feature": np.array([2, -1, -1]), "threshold": np.array([12.0, 0, 0]), "left": np.array([1, 1, 2]), "right": np.array([2, 1, 2]),
+             "value": np.array([0.0, 0.25, 2.0])}
+    rows = [([k, *[d] * 23], float(d > 12 or k == 1 or d == 5), 1 + d % 3) for k in (0, 1, 2) for d in range(5, 20)]
+    for precision in (0.3, 0.98, 1.1):
+        want = []
+        for k in range(4):
+            own = [(2.0 if x[2] > 12 else 0.25, y, n) for x, y, n in rows if x[0] == k]
+            ok = [m for m, _, _ in own if sum(n * y for s, y, n in own if s >= m) >= precision * sum(n for s, _, n in own if s >= m)]
+            want.append(min(ok) if ok else 1.0)
+        assert cuts(spark.createDataFrame(rows, "x array<int>, label double, n long"), [stump], precision) == want
+
+
 def one_by_one(base, scored):
     taken, out = [x for spans in base.values() for x in spans], []
     for _, a, b, k in sorted(scored, key=lambda x: (-x[0], x[1], -x[2], x[3])):

@@ -5,9 +5,10 @@ thresholds calibrated per kind select what is redacted.  The base rules (email,
 model adds spans that no base span touches: cards and phones that run into other digits, obfuscated emails,
 phones without a plus sign, bracketed addresses.
 
-Training labels come from the corpus itself: spans that pass the base rules in a bounded, hash-ordered sample of
-documents (``sample_docs``) are true; the same spans are also planted into harder contexts (joined with other
-numbers, obfuscated, corrupted), where truth is known by construction.  Every other candidate there is false.
+Training labels come from the whole corpus: spans that pass the base rules are true; the same spans are also planted
+into harder contexts (joined with other numbers, obfuscated, corrupted), where truth is known by construction.  Every
+other candidate there is false.  Candidates with equal features are counted, and the trees fit the counts as weights,
+so training holds different feature vectors, not documents or candidates.
 
 Documents are scored where they are read, in one pass without a shuffle.
 
@@ -20,18 +21,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import trees
+from .common import release, staged
 
 KINDS = ["email", "ip", "card", "phone"]
-SAMPLE_DOCS = 8000
 TARGET_PRECISION = 0.98
+LEAST_ROWS = 3              # candidates in a leaf
+STEPS = 256                 # parts of a unit of margin that are summed first
 RESULT = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
           "n_added long, redacted_chars long")
 
@@ -245,59 +250,75 @@ class Model:
         self.forest, self.cut = forest, cut
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = TARGET_PRECISION) -> Model | None:
-    """Boosted trees on the labelled candidates of at most ``sample_docs`` documents; thresholds on a fifth of them.
+def labels(docs: DataFrame) -> DataFrame:
+    """held, label, x (features), n: how many candidates of all documents are so; a fifth of the ids is held for calibration."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = Counter((i is not None and i % 5 == 0, float(y), tuple(map(int, x)))
+                          for i, text in zip(batch.column(0).to_pylist(), batch.column(1)) for x, y in labelled(text.as_py() or ""))
+            if got:
+                held, y, x = zip(*got)
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.bool_()), pa.array(y, pa.float64()), pa.array(x, pa.list_(pa.int32())),
+                                                  pa.array(got.values(), pa.int64())], ["held", "label", "x", "n"])
 
-    A kind's threshold is the lowest margin at which the calibration part reaches ``precision`` from there up.
-    """
+    return (docs.select("doc_id", "text").mapInArrow(rows, "held boolean, label double, x array<int>, n long")
+            .groupBy("held", "label", "x").agg(F.sum("n").alias("n")))
+
+
+def train(docs: DataFrame, precision: float = TARGET_PRECISION) -> Model | None:
+    """Boosted trees on the labelled candidates of all documents but a fifth; that fifth gives the thresholds."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi")  # at most sample_docs ids
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [(i is not None and i % 5 == 0, x, y) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                   for x, y in labelled(text or "")]
-            if got:
-                held, x, y = zip(*got)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(held, pa.bool_()), pa.array([[float(v) for v in r] for r in x], pa.list_(pa.float64())),
-                     pa.array([float(v) for v in y])], ["held", "x", "label"])
-
-    got = sample.mapInArrow(rows, "held boolean, x array<double>, label double").coalesce(4).persist()
-    try:
-        n = {(r["held"], r["label"]): r["n"] for r in got.groupBy("held", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if not n.get((False, 1.0)) or not n.get((False, 0.0)):
-            return None
-        fitted = GBTClassifier(featuresCol="v", labelCol="label", maxDepth=4, maxIter=15, stepSize=0.3, seed=7,
-                               minInstancesPerNode=3).fit(
-            got.where("NOT held").select(array_to_vector("x").alias("v"), "label"))
-        forest = trees.flatten(fitted)
-        held = got.where("held").select("x", "label").collect()  # bounded by the sample
-    finally:
-        got.unpersist()
-    x = np.array([r["x"] for r in held]).reshape(-1, len(FEATURES))
-    y = np.array([r["label"] for r in held])
-    m = trees.margin(forest, x)
-    cut = []
-    for k in range(len(KINDS)):
-        own = x[:, 0] == k
-        order = np.argsort(-m[own], kind="stable")
-        good = np.cumsum(y[own][order])
-        right = good / np.arange(1, len(order) + 1)
-        ok = np.nonzero(right >= precision)[0]
-        # Nothing of a kind in the calibration part: only what the trees are surest of.
-        cut.append(float(max(m[own][order][ok[-1]], 0.0)) if len(ok) else 1.0)
+    got = staged(labels(docs), "pii-labels")
+    n = {(r["held"], r["label"]): r["n"] for r in got.groupBy("held", "label").agg(F.sum("n").alias("n")).collect()}
+    if not n.get((False, 1.0)) or not n.get((False, 0.0)):
+        release(got)
+        return None
+    # By weight, half a candidate less, so that no rounding keeps LEAST_ROWS from being enough.
+    least = min((LEAST_ROWS - 0.5) / (n[False, 1.0] + n[False, 0.0]), 0.49)
+    fitted = GBTClassifier(featuresCol="v", labelCol="label", weightCol="w", maxDepth=4, maxIter=15, stepSize=0.3, seed=7,
+                           minWeightFractionPerNode=least).fit(
+        got.where("NOT held").select(array_to_vector(F.col("x").cast("array<double>")).alias("v"), "label", F.col("n").cast("double").alias("w")))
+    forest = trees.flatten(fitted)
+    cut = cuts(got.where("held"), forest, precision)
+    release(got)
     return Model(forest, cut)
 
 
-def find_pii(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def cuts(held: DataFrame, forest: list, precision: float) -> list[float]:
+    """Per kind, the lowest margin from which up ``precision`` of the candidates (x, label, n) are true, 0 at least."""
+    model = held.sparkSession.sparkContext.broadcast(forest)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array(trees.margin(model.value, x)),
+                                                  batch.column(1), batch.column(2)], ["kind", "margin", "n", "good"])
+
+    at = staged(held.select("x", "n", (F.col("n") * F.col("label")).cast("long").alias("good"))
+                .mapInArrow(score, "kind int, margin double, n long, good long")
+                .groupBy("kind", "margin").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+                .withColumn("step", F.floor(F.col("margin") * STEPS)), "pii-margins")
+    # Margins are bounded by the trees' weights, so there are a few thousand steps, whatever the size of the data.
+    higher = Window.partitionBy("kind").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = at.groupBy("kind", "step").agg(F.sum("n").alias("step_n"), F.sum("good").alias("step_good"))
+    above = sums.select("kind", "step", *[F.coalesce(F.sum(f"step_{c}").over(higher), F.lit(0)).alias(f"above_{c}") for c in ("n", "good")])
+    within = Window.partitionBy("kind", "step").orderBy(F.desc("margin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up = at.join(F.broadcast(above), ["kind", "step"]).select("kind", "margin", *[
+        (F.sum(c).over(within) + F.col(f"above_{c}")).alias(c) for c in ("n", "good")])
+    least = {r["kind"]: r["least"] for r in up.where(F.col("good") / F.col("n") >= precision).groupBy("kind").agg(F.min("margin").alias("least")).collect()}
+    release(at)
+    # Nothing of a kind in the calibration part: only what the trees are surest of.
+    return [max(least[k], 0.0) if k in least else 1.0 for k in range(len(KINDS))]
+
+
+def find_pii(docs: DataFrame) -> DataFrame:
     """Per document: base counts, hash of the base spans, all spans (base and added), how many were added."""
     spark: SparkSession = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = spark.sparkContext.broadcast(train(source, sample_docs))
+    model = spark.sparkContext.broadcast(train(source))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
