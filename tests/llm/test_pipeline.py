@@ -193,3 +193,26 @@ def test_stages_on_the_smallest_tables(spark, stages):
     for parts in by.values():
         assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == kept
+
+
+def test_shingles_and_blocks_take_little_memory():
+    """A worker's arrays are bounded by slices of text and of n-grams, with the sets and links of a whole pass."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tidewater.llm.ngram_join import block_links, shingle_sets
+
+    texts = [" ".join(f"w{i * 31 % 977}x{j}" for j in range(300)).encode() for i in range(1000)]
+    rng = np.random.default_rng(5)
+    sets = [(f"{i:016d}".encode(), 400, np.unique(rng.integers(0, 5_000, 600))[:400]) for i in range(600)]
+    peaks = []
+    for job in (lambda: shingle_sets(texts), lambda: block_links(sets[:300], sets[300:], 85)):
+        tracemalloc.start()
+        got = job()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        if len(peaks) == 1:
+            assert all((g == shingle_sets([t])[0]).all() for g, t in zip(got[::199], texts[::199]))
+    print(peaks)
+    assert peaks[0] < 30e6 and peaks[1] < 20e6

@@ -126,3 +126,19 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [(r["score"], r["predicted"]) for r in toxicity(docs, none).collect()] == [(0.0, 0)] * 2
     assert toxicity(docs.limit(0), none).collect() == []
+
+
+def test_landmark_features_take_little_memory():
+    """What a worker holds at once does not grow with the number of windows; an executor runs several workers."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnoprstuv"), 4 + i % 8)) for i in range(240)]
+    marks = Landmarks([f" {w} " for w in words])
+    windows = [f" {words[i % 240]} {words[i * 7 % 240]}"[:WINDOW] for i in range(1000)]
+    tracemalloc.start()
+    got = marks.features(windows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert np.allclose(got[::97], np.concatenate([marks.features([w]) for w in windows[::97]]))

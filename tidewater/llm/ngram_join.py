@@ -40,8 +40,8 @@ from .components import components
 WORDS = 4
 PERCENT = 85
 BLOCK = 512                 # classes in a block of the product
-COLUMNS = 8192              # n-grams of a slice of the product
-SLICE_BYTES = 2_000_000     # text handled at once
+COLUMNS = 2048              # n-grams of a slice of the product
+SLICE_BYTES = 250_000       # text handled at once
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True

@@ -28,6 +28,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,8 @@ PLANTED_WEIGHT = 0.2             # of clean training documents with one planted
 LANDMARKS = 240
 DECAY, MAX_SPAN, WINDOW = 0.75, 7, 12
 SYMBOLS = 40                     # 0 matches nothing, 1-26 a-z, 27 word boundary, the rest shared by other letters
-SLICE = 400_000                  # characters handled at once
+SLICE = 100_000                  # characters handled at once
+TOGETHER = 25                    # windows mapped onto the landmarks at once
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _TOKEN = re.compile(r"[^\W\d_]{3,}")
@@ -140,8 +142,8 @@ class Landmarks:
         place = np.full(SYMBOLS ** 4, -1, dtype=np.int32)
         place[self.ids] = np.arange(len(self.ids))
         out = np.zeros((len(texts), self.by_id.shape[1]))
-        for lo in range(0, len(texts), 200):
-            part = [symbols(t) for t in texts[lo:lo + 200]]
+        for lo in range(0, len(texts), TOGETHER):
+            part = [symbols(t) for t in texts[lo:lo + TOGETHER]]
             gap = np.zeros(MAX_SPAN, dtype=np.int32)
             x = np.concatenate([y for p in part for y in (p, gap)])
             owner = np.repeat(np.arange(len(part)), [len(p) + MAX_SPAN for p in part])
@@ -337,20 +339,23 @@ def _worst_windows(table: np.ndarray):
     return rows
 
 
-def _fit(windows: DataFrame, marks: Landmarks) -> tuple[np.ndarray, float]:
+def _fit(sample: DataFrame, makers: list, marks: Landmarks) -> tuple[np.ndarray, float]:
+    """The machine fitted on the windows that each of ``makers`` (as in ``_per_doc``) finds in the sample.
+
+    Windows are made and mapped by the same Python worker: a chain of two steps would hold two workers a task.
+    """
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.functions import array_to_vector
 
-    held = windows.sparkSession.sparkContext.broadcast(marks)
+    held = sample.sparkSession.sparkContext.broadcast(marks)
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 1000):
-                b = whole.slice(s, 1000)
-                x = held.value.features(b.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], ["x", "label"])
+    def mapped(make):
+        def rows(texts, toxic):
+            found = make(texts, toxic)
+            return [(x, y) for x, (_, y) in zip(held.value.features([w for w, _ in found]), found)]
+        return _per_doc(sample, rows, "x array<double>, label double", ["x", "label"], [pa.list_(pa.float64()), pa.float64()])
 
-    got = windows.mapInArrow(features, "x array<double>, label double").coalesce(4)
+    got = reduce(DataFrame.unionAll, map(mapped, makers)).coalesce(4)
     rows = got.select(array_to_vector("x").alias("x"), "label").persist()
     try:
         n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -417,12 +422,14 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     if not strong:
         return Model(None, plain=n[1] / (n[0] + n[1]))
     marks = Landmarks([f" {w} " for w in [*list(strong)[:landmarks - len(plain)], *plain]])
-    kinds = ("window string, label double", ["window", "label"], [pa.string(), pa.float64()])
-    first = _per_doc(sample, _windows_of_sentences(strong), *kinds)
-    coef, _ = _fit(first, marks)
+    first = _windows_of_sentences(strong)
+    coef, _ = _fit(sample, [first], marks)
     table = spark.sparkContext.broadcast(marks.table(coef))
-    worst = _per_doc(sample, lambda t, y: _worst_windows(table.value)(t, y), *kinds)
-    coef, _ = _fit(first.unionAll(worst).unionAll(worst), marks)
+
+    def worst(texts, toxic):
+        return _worst_windows(table.value)(texts, toxic)
+
+    coef, _ = _fit(sample, [first, worst, worst], marks)
     final = marks.table(coef)
     held = spark.sparkContext.broadcast(final)
     peaks = _per_doc(sample.where("toxic = 1"), lambda t, y: [(m,) for m, _, _ in best_windows([joined(x) for x in t], held.value)],
