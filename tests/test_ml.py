@@ -53,3 +53,18 @@ def test_boosted_probabilities(spark):
     assert all(abs(sum(r.probabilities.values()) - 1) < 1e-9 and r.confidence < 1 for r in scored)
     assert all(max(r.probabilities, key=r.probabilities.get) == r.predicted_label for r in scored)
     assert len({round(r.confidence, 6) for r in scored}) > 1
+
+
+def test_training_queries_fit_whole_candidates(monkeypatch):
+    """All iterations, trees and rounds of the reference's candidates."""
+    from tidewater.plans import ml as P
+    seen = {}
+    monkeypatch.setattr(P, "_splits", lambda *a: (None, None, None))
+    monkeypatch.setattr(ML, "train_and_validate", lambda tr, va, c: (seen.update(baselines=c), None))
+    monkeypatch.setattr(ML, "tune", lambda tr, va, c: (seen.update(tuned=c), None))
+    monkeypatch.setattr(ML, "train_local_models", lambda tr, va, c: seen.update(local=c))
+    for query in (P.train_baselines, P.tune_models, P.train_local_models):
+        query(None, "unused")
+    size = {k: [c.params.get("maxIter", c.params.get("numTrees")) for c in v] for k, v in seen.items()}
+    assert size["baselines"] == [1000, None, 300, 350]
+    assert [c.params["maxDepth"] for c in seen["baselines"] if "maxDepth" in c.params] == [16, 30, 7]
