@@ -68,4 +68,5 @@ def test_training_queries_fit_whole_candidates(monkeypatch):
     size = {k: [c.params.get("maxIter", c.params.get("numTrees")) for c in v] for k, v in seen.items()}
     assert size["baselines"] == [1000, None, 300, 350]
     assert size["tuned"] == [300, 400, 500, 350, 450, 350, 300, 400, 250, 350, 350, 250, 300, 400, 300, 450, 400, 400, 500, 500, 500, 400]
+    assert size["local"] == [300, 400, 500, 350, 400, 350, 300]
     assert [c.params["maxDepth"] for c in seen["baselines"] if "maxDepth" in c.params] == [16, 30, 7]
