@@ -40,8 +40,11 @@ def test_same_rows_as_one_keep_first_over_all(spark):
         want = VY.dedupe_voyages(VY.expand_study_areas(VY.clean_voyages(raw)))
         got = VY.prepare_voyages(raw)
         assert listed(got.select(*sorted(got.columns))) == listed(want.select(*sorted(want.columns)))
+        span = ("2020-03-01 00:00:00", "2020-03-04 11:00:00")
+        assert listed(VY.prepare_events(raw, *span)) == listed(VY.voyage_events(want, *span))
+        assert listed(VY.prepare_events(raw)) == listed(VY.voyage_events(want))
     none = raw.limit(0)
-    assert VY.prepare_voyages(none).count() == 0
+    assert VY.prepare_voyages(none).count() == VY.prepare_events(none).count() == 0
 
 
 def test_only_rows_that_share_an_id_are_exchanged(spark):
@@ -52,7 +55,7 @@ def test_only_rows_that_share_an_id_are_exchanged(spark):
     assert len(own) + len(rest) == raw.count() and len(set(own)) == len(own) and not set(own) & set(rest)
     assert None not in own and rest.count("twice") == 3
     assert sum(str(i).startswith("own-") for i in rest) < 50        # bits may clash
-    for table in (VY.prepare_voyages(raw),):
+    for table in (VY.prepare_voyages(raw), VY.prepare_events(raw, "2020-01-01", "2021-01-01")):
         plan = table._jdf.queryExecution().optimizedPlan().toString()
         first, second = plan.index("min_by") if "min_by" in plan else -1, plan.index("Union")
         assert first > second >= 0

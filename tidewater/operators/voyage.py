@@ -310,3 +310,11 @@ def voyage_events(voyages: DataFrame, start=C.DATA_START, end=C.DATA_END) -> Dat
     e = keep_first(e, ["study_area", "seilas_id", "event_type", "event_time"], order) if order \
         else e.dropDuplicates(["study_area", "seilas_id", "event_type", "event_time"])
     return _finished_events(e)
+
+
+def prepare_events(raw: DataFrame, start=C.DATA_START, end=C.DATA_END, areas=None) -> DataFrame:
+    """``voyage_events`` of ``prepare_voyages``: a voyage with an id of its own has no event twice and passes both
+    de-duplications without an exchange."""
+    alone, sharing = _prepared(raw, areas, EVENT_INPUT_COLUMNS)
+    events = voyage_events(sharing, start, end)
+    return _finished_events(_event_rows(alone, start, end)[0]).unionByName(events)

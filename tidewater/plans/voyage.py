@@ -130,7 +130,7 @@ def voyages(spark, sf, columns=None):
 
 
 def events(spark, sf):
-    return VY.voyage_events(voyages(spark, sf, VY.EVENT_INPUT_COLUMNS), EVENT_SQL_START, EVENT_SQL_END)
+    return VY.prepare_events(raw(spark, sf), EVENT_SQL_START, EVENT_SQL_END)
 
 
 # ---------------------------------------------------------------------------
