@@ -33,8 +33,9 @@ def listed(df):
     return sorted(map(repr, df.collect()))
 
 
-def test_same_rows_as_one_keep_first_over_all(spark):
-    for seed in (1, 2):
+def test_same_rows_as_one_keep_first_over_all(spark, monkeypatch):
+    for seed, least in ((1, 0), (2, 0), (2, 1000)):
+        monkeypatch.setattr(VY, "LEAST_ROWS", least)
         rnd = random.Random(seed)
         raw = raw_rows(spark, [*ODD, *ODD, *[f"v{rnd.randint(0, 300)}" for _ in range(200)]], seed).cache()
         want = VY.dedupe_voyages(VY.expand_study_areas(VY.clean_voyages(raw)))
@@ -43,11 +44,13 @@ def test_same_rows_as_one_keep_first_over_all(spark):
         span = ("2020-03-01 00:00:00", "2020-03-04 11:00:00")
         assert listed(VY.prepare_events(raw, *span)) == listed(VY.voyage_events(want, *span))
         assert listed(VY.prepare_events(raw)) == listed(VY.voyage_events(want))
+    monkeypatch.setattr(VY, "LEAST_ROWS", 0)
     none = raw.limit(0)
     assert VY.prepare_voyages(none).count() == VY.prepare_events(none).count() == 0
 
 
-def test_only_rows_that_share_an_id_are_exchanged(spark):
+def test_only_rows_that_share_an_id_are_exchanged(spark, monkeypatch):
+    monkeypatch.setattr(VY, "LEAST_ROWS", 0)
     raw = raw_rows(spark, [*ODD, *[f"own-{i}" for i in range(500)], *["twice"] * 3]).repartition(5).cache()
     alone, sharing = VY.split_by_id(raw)
     clean = lambda df: [r[0] for r in df.select(VY.CL.clean_identifier("seilas_id")).collect()]
