@@ -67,5 +67,6 @@ def test_only_rows_that_share_an_id_are_exchanged(spark, monkeypatch):
 
 def test_exchange_files_of_a_staged_table_are_freed(spark):
     from tidewater.session import FREE_EXCHANGES, staged
+    before = spark.conf.get(FREE_EXCHANGES, None)
     rows = staged(spark.range(50).groupBy((F.col("id") % 7).alias("k")).count(), "freed", free=True)
-    assert rows.count() == rows.count() == 7 and spark.conf.get(FREE_EXCHANGES, None) is None
+    assert rows.count() == rows.count() == 7 and spark.conf.get(FREE_EXCHANGES, None) == before
